@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, packing
+from tidemark.llm import jaccard, langid, line_dedup, packing, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_warc_roundtrip": warc.op7_warc_roundtrip,
+    "op8_language_id": langid.op8_language_id,
+}
+ORACLE_SQL = {
+    "op3_ngram_jaccard_join": jaccard.ORACLE_SQL,
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_warc_roundtrip": warc.ORACLE_SQL,
 }
-ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE_SQL}
