@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import jaccard, langid, line_dedup, packing, warc
+from tidemark.llm import decontam, gru_lm, jaccard, langid, line_dedup, packing, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_warc_roundtrip": warc.op7_warc_roundtrip,
     "op8_language_id": langid.op8_language_id,
+    "op9_decontamination": decontam.op9_decontamination,
+    "op10_lm_scoring": gru_lm.op10_lm_scoring,
 }
 ORACLE_SQL = {
     "op3_ngram_jaccard_join": jaccard.ORACLE_SQL,
