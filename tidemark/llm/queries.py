@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, gru_lm, jaccard, langid, line_dedup, packing, warc
+from tidemark.llm import decontam, gru_lm, html_main, jaccard, langid, line_dedup, packing, url_rules, warc
 
 QUERIES = {
+    "op1_url_filter": url_rules.op1_url_filter,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op4_html_main_text": html_main.op4_html_main_text,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_warc_roundtrip": warc.op7_warc_roundtrip,
     "op8_language_id": langid.op8_language_id,
