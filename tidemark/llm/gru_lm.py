@@ -149,7 +149,7 @@ def lanes_of(lengths: np.ndarray, most: int) -> list[list[int]]:
 
 def lane_arrays(ids: np.ndarray, ptr: np.ndarray, lanes: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(time, lane): next word, word before it, whether the document goes on, its number (-1 beyond a lane's end)."""
-    sizes = np.array([sum(ptr[d + 1] - ptr[d] for d in lane) for lane in lanes])
+    sizes = np.array([sum(int(ptr[d + 1] - ptr[d]) for d in lane) for lane in lanes], np.int64)
     y = np.zeros((sizes.max(initial=0), len(lanes)), np.int32)
     x, keep, doc = np.zeros_like(y), np.zeros(y.shape, np.float32), np.full(y.shape, -1, np.int32)
     for k, lane in enumerate(lanes):
