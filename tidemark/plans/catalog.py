@@ -84,7 +84,7 @@ def scan_exists(t):
     return S.get(t("customer"), "c_custkey", 42).agg((F.count("*") > 0).alias("found"))
 
 
-@query("SELECT k.c_custkey, pos, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (VALUES (7, 0), (99999999, 1), (3, 2), (7, 3)) k(c_custkey, pos) LEFT JOIN customer c ON c.c_custkey = k.c_custkey")
+@query("SELECT k.c_custkey, pos, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (VALUES (7::BIGINT, 0), (99999999, 1), (3, 2), (7, 3)) k(c_custkey, pos) LEFT JOIN customer c ON c.c_custkey = k.c_custkey")
 def scan_get_batch(t):
     return S.get_batch(t("customer"), "c_custkey", [7, 99_999_999, 3, 7]).withColumn("pos", F.col("pos").cast("int"))
 
@@ -588,7 +588,7 @@ def page_last(t):
     return t.q("part").order_by("p_size").last()
 
 
-@query("SELECT event_id, value FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE value > 400)")
+@query("SELECT event_id, value FROM events WHERE event_id < (SELECT coalesce(min(event_id), 1000000000000) FROM events WHERE value > 400)")
 def page_take_while(t):
     return t.q("events").take_while("value <= 400").select("event_id", "value")
 
