@@ -25,9 +25,9 @@ from tidemark.llm.jaccard import slices
 from tidemark.llm.textops import U64, buffers, mix, word_hashes, words
 
 SEED_WORDS, MAX_EDITS, RECALL = 3, 0.2, 0.99
-WALKS, SAMPLED = 4, 6
+WALKS, SAMPLED = 4, 4
 #: Share of the walk's places at which a window and its item may differ, for which the recall holds.
-HAMMING = 0.35
+HAMMING = 0.6
 BITMAP = 22
 
 
