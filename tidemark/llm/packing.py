@@ -300,7 +300,7 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, groups: int
     return plan, bins
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 100_000, **options) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 20_000, **options) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset; ``pieces`` should be cheap to read again.
 
     Rows of equal doc_id and piece are different pieces. A length outside 1..capacity is an error. An empty table gives
