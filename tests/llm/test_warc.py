@@ -32,7 +32,7 @@ def trip(spark, pages, **options):
 
 
 def test_round_trip_by_small_ranges(spark):
-    archives, records = trip(spark, PAGES, roll_bytes=2000)
+    archives, records = trip(spark, PAGES, roll_bytes=400)
     rows = records.collect()
     got = [(int(r["record_id"][9:]), r["http_length"], r["payload_digest"], r["record_type"], int(r["refers_to"][9:]) if r["refers_to"] else None) for r in rows]
     assert sorted(got, key=repr) == brute(PAGES)
