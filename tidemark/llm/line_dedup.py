@@ -220,9 +220,10 @@ def _by_shards(docs: DataFrame, index: DataFrame, shards: int, text_col: str, mi
 
     keyed = docs.withColumn("__content", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     lines = stored(keyed.select("__content", text_col).mapInArrow(emit, "content string, shard long, h1 long, h2 long"), "probes")
-    salts = max(1, -(-lines.count() // (shards * 500_000)))
-    lines = lines.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(salts)))
-    spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    # A line that many texts share puts their probes into one shard: each shard gets as many salts as its probes need.
+    salts = lines.groupBy("shard").agg(F.ceil(F.count("*") / 500_000).cast("long").alias("salts"))  # a row per shard
+    lines = lines.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("salts"))).drop("salts")
+    spread = index.join(F.broadcast(salts), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
 
     def probe(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(probes):
