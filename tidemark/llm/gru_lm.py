@@ -216,6 +216,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """The words of the highest classes of counts (sixteenths of a power of two) that hold at most ``most`` words together.
+
+    No task sends more than what is kept: the classes' sizes come first, about a thousand rows at most.
+    """
+    kind = F.floor(F.log2("c") * 16)
+    sizes, held, least = sorted(counts.groupBy(kind.alias("k")).count().collect(), key=lambda r: -r["k"]), 0, None
+    for r in sizes:
+        held += r["count"]
+        if held > most:
+            break
+        least = r["k"]
+    return counts.filter(kind >= least).collect() if least is not None else []
+
+
 class Lookup:
     """Counts and model numbers of the frequent words by hash."""
 
@@ -260,14 +275,15 @@ def language_model_scores(docs: DataFrame, held_out_mod: int = 10, vocabulary: i
     n_all, v_all = int(total[0]), int(total[1])
     found = counts.filter(F.col("h") == END_HASH).collect()
     end_count = found[0]["c"] if found else 0
-    top = counts.filter(F.col("h") != END_HASH).orderBy(F.desc("c"), "h").limit(frequent).collect()
+    top = sorted(_most_frequent(counts.filter(F.col("h") != END_HASH), frequent), key=lambda r: (-r["c"], r["h"]))
     hashes, c = np.array([r["h"] for r in top], np.int64).view(U64), np.array([r["c"] for r in top], np.int64)
     lookup = Lookup(hashes, c, vocabulary)
     known = c[: vocabulary - 2]
     rare_mass = (n_all - end_count - int(known.sum())) + SMOOTH * (v_all - len(known))  # smoothed mass of all rarer words, unseen ones as one
     model = GRU(np.concatenate([[end_count, rare_mass], known]).astype(float))
-    # A bounded sample, as a documented parameter; everything else covers all rows.
-    sample = sorted(training.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lm")), "doc_id").limit(train_docs).collect(), key=lambda r: str(r[0]))
+    # A bounded sample (about ``train_docs`` rows by a hash of the id); everything else covers all rows.
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) < train_docs / max(1, end_count) * (1 << 30)
+    sample = sorted(training.filter(drawn).limit(2 * train_docs).collect(), key=lambda r: (str(r[0]), r[1] or ""))  # the limit holds if one row repeats without end
     if sample:
         low, starts, ends, ptr = words(*buffers(pa.array([r["text"] for r in sample], pa.string())))
         train(model, *with_ends(lookup(word_hashes(low, starts, ends))[2], ptr), epochs=epochs)
