@@ -106,8 +106,8 @@ def _sample(docs: DataFrame, per_lang: int, max_langs: int) -> DataFrame:
     """About ``per_lang`` rows of each of the ``max_langs`` most frequent languages, by a hash of the id."""
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
     rate = counts.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("__rate"))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(F.broadcast(rate), "lang").filter(drawn < F.col("__rate"))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    return docs.join(F.broadcast(rate), "lang").filter(drawn < F.col("__rate")).limit(2 * per_lang * max_langs)  # holds if one row repeats without end
 
 
 def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 200, bits: int = 12, held_out_mod: int = 5) -> Model | None:
