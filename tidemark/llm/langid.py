@@ -107,7 +107,7 @@ def _sample(docs: DataFrame, per_lang: int, max_langs: int) -> DataFrame:
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
     rate = counts.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("__rate"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(F.broadcast(rate), "lang").filter(drawn < F.col("__rate")).limit(2 * per_lang * max_langs)  # holds if one row repeats without end
+    return docs.join(F.broadcast(rate), "lang").filter(drawn < F.col("__rate"))
 
 
 def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 200, bits: int = 12, held_out_mod: int = 5) -> Model | None:
@@ -125,7 +125,8 @@ def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 200, bits: int
                 x = features(*buffers(part.column(1)), bits).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).cast(pa.string()), "lang": part.column(2), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = _sample(known, per_lang, max_langs).select("doc_id", "text", "lang").mapInArrow(run, "doc_id string, lang string, x binary").collect()
+    rows = _sample(known, per_lang, max_langs).select("doc_id", "text", "lang").mapInArrow(run, "doc_id string, lang string, x binary")
+    rows = rows.limit(2 * per_lang * max_langs).collect()  # the limit holds if one row repeats without end
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] or ""))
