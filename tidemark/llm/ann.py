@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.store import cut, stored
 
-K, ROUNDS, BEAM, EXPAND, BLOCK, ORDERS = 24, 4, 320, 64, 256, 3
+K, ROUNDS, BEAM, EXPAND, BLOCK, ORDERS = 24, 4, 640, 128, 256, 3
 
 
 def first_of(df: DataFrame, key: str, order: list[Column | str], n: int) -> DataFrame:
