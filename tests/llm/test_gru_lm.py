@@ -113,3 +113,29 @@ def test_ends():
     _, starts, _, ptr = words(*buffers(pa.array(["a b", None, "c"])))
     ids, at = M.with_ends(np.array([5, 6, 7], np.int32), ptr)
     assert ids.tolist() == [5, 6, 0, 0, 7, 0] and at.tolist() == [0, 3, 4, 6] and len(starts) == 3
+
+
+def test_training_reads_every_training_document(spark):
+    rows = [(k, f"a b w{k} c") for k in range(3000)] + [(5000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    lookup = M.Lookup(np.array([1], np.uint64), np.array([1]), 4)
+    for train_docs, epochs, passes in ((700, 2, 1), (10, 8, 1), (3001, 2, 2)):
+        model = net()
+        before = {k: v.copy() for k, v in model.p.items()}
+        n = sum(len(tokens(t)) for _, t in rows)
+        assert M.train_on_all(model, lookup, docs, n, len(rows), train_docs, epochs) == (n * passes, len(rows) * passes)
+        assert any((model.p[k] != before[k]).any() for k in before) and all(np.isfinite(v).all() for v in model.p.values())
+
+
+def test_a_round_averages_tasks_by_words(spark):
+    lookup = M.Lookup(np.array([], np.uint64), np.array([]), 4)
+
+    def learnt(texts, parts):
+        model = net()
+        docs = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in texts], parts), "text string")
+        return model.p, M.train_round(model, lookup, docs, 0.01, parts)
+
+    (one, _), (two, _), (both, seen) = learnt(["a"] * 2, 1), learnt(["b b b"] * 3, 1), learnt(["a"] * 2 + ["b b b"] * 3, 2)
+    assert seen == (16, 5)
+    for k in both:
+        assert np.allclose(both[k], (4 * one[k] + 12 * two[k]) / 16, atol=1e-6)

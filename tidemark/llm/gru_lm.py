@@ -3,8 +3,10 @@
 Counts of all training words come from the whole corpus by one aggregation. The model's vocabulary is the most frequent
 words, the end and one entry for all rarer words; a rare word has the probability of that entry times its smoothed share
 of the rare mass, so every text has a probability. Output biases start at the corpus's unigram frequencies; the network
-is trained on a bounded sample of ``train_docs`` whole training documents. Documents are scored in lanes that advance in
-step: a lane's state is carried from window to window and cleared where its next document begins.
+is trained on all training documents in rounds: each task starts from the round's weights, learns from its own documents
+and the weights of all tasks are averaged by words in the tasks. The number of tasks grows with the words, so a task's work
+does not. Documents are scored in lanes that advance in step: a lane's state is carried from window to window and cleared
+where its next document begins.
 
 Counts of the ``frequent`` words (a fixed number) go to every task; rarer words of each document are joined with the
 table of counts by their hash and summed, so no table that grows with the corpus is broadcast.
@@ -12,6 +14,7 @@ table of counts by their hash and summed, so no table that grows with the corpus
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ END_HASH = 0x0E0D
 END, RARE = 0, 1
 SMOOTH = 0.1
 HIDDEN, WINDOW, LANES = 24, 32, 256
+#: Rounds of averaging in a single pass over the documents; about so many words of a pass and bytes of text a task learns from.
+ROUNDS, TASK_WORDS, LEARN_BYTES = 4, 1 << 21, 4 << 20
 
 
 def softmax_log(x: np.ndarray) -> np.ndarray:
@@ -128,7 +133,9 @@ class GRU:
             back = (g * z + gh @ p["u"].T) * keep[t][:, None]
         grad["b"] = gx.sum((0, 1))
         grad["wx"] = np.zeros_like(p["wx"])
-        np.add.at(grad["wx"], x.ravel(), gx.reshape(-1, 3 * k))
+        order = np.argsort(x.ravel(), kind="stable")
+        first = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
+        grad["wx"][x.ravel()[order[first]]] = np.add.reduceat(gx.reshape(-1, 3 * k)[order], first)
         return float(-lp.sum() / max(1, own.sum())), grad, states[-1]
 
 
@@ -164,27 +171,106 @@ def lane_arrays(ids: np.ndarray, ptr: np.ndarray, lanes: list[list[int]]) -> tup
     return x, y, keep, doc
 
 
-def train(model: GRU, ids: np.ndarray, ptr: np.ndarray, epochs: int = 8, rate: float = 0.01, lanes: int = 48, window: int = WINDOW) -> list[float]:
-    """Truncated backpropagation with Adam; the state goes on from window to window. Returns each epoch's mean loss."""
+class Adam:
+    def __init__(self, model: GRU):
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
+        self.step = 0
+
+    def update(self, model: GRU, grad: dict, rate: float) -> None:
+        self.step += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        for k, g in grad.items():
+            g = g * min(1.0, 1.0 / max(norm, 1e-9))
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
+            model.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32)
+
+
+def learn(model: GRU, adam: Adam, ids: np.ndarray, ptr: np.ndarray, rate, lanes: int = 48, window: int = WINDOW) -> tuple[float, int]:
+    """One pass of truncated backpropagation; the state goes on from window to window. ``rate`` gives a step's rate by its number. Returns the loss and the words."""
     x, y, keep, doc = lane_arrays(ids, ptr, lanes_of(np.diff(ptr), lanes))
-    m, v = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
-    step, out = 0, []
-    total = epochs * -(-len(x) // window)
+    active = (doc >= 0).sum(1)
+    h, losses, mass = np.zeros((x.shape[1], model.hidden), np.float32), 0.0, 0
+    for a in range(0, len(x), window):
+        part, n = slice(a, a + window), int(active[a])
+        valid = doc[part, :n] >= 0
+        loss, grad, h = model.gradient(x[part, :n], y[part, :n], keep[part, :n], valid, h[:n])
+        losses, mass = losses + loss * valid.sum(), mass + int(valid.sum())
+        adam.update(model, grad, rate(adam.step + 1))
+    return float(losses), mass
+
+
+def train(model: GRU, ids: np.ndarray, ptr: np.ndarray, epochs: int = 8, rate: float = 0.01, lanes: int = 48, window: int = WINDOW) -> list[float]:
+    """``epochs`` passes with a falling rate. Returns each one's mean loss."""
+    adam, out = Adam(model), []
+    longest = max((sum(int(ptr[d + 1] - ptr[d]) for d in lane) for lane in lanes_of(np.diff(ptr), lanes)), default=0)
+    total = max(1, epochs * -(-longest // window))
     for _ in range(epochs):
-        h, losses, mass = np.zeros((x.shape[1], model.hidden), np.float32), 0.0, 0
-        for a in range(0, len(x), window):
-            part = slice(a, a + window)
-            valid = doc[part] >= 0
-            loss, grad, h = model.gradient(x[part], y[part], keep[part], valid, h)
-            losses, mass, step = losses + loss * valid.sum(), mass + valid.sum(), step + 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            now = rate * (1 - 0.9 * step / total)
-            for k, g in grad.items():
-                g = g * min(1.0, 1.0 / max(norm, 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                model.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        out.append(losses / max(1, mass))
+        loss, mass = learn(model, adam, ids, ptr, lambda step: rate * (1 - 0.9 * step / total), lanes, window)
+        out.append(loss / max(1, mass))
+    return out
+
+
+def added(a: tuple | None, b: tuple | None) -> tuple | None:
+    """Sum of two (words, documents, weights times words)."""
+    if a is None or b is None:
+        return a if b is None else b
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+
+
+def train_round(model: GRU, lookup: Lookup, texts: DataFrame, rate: float, tasks: int) -> tuple[int, int]:
+    """Replaces the weights of ``model`` by the mean of those that at most ``tasks`` tasks learn from ``texts``; returns (words, documents) learnt from."""
+    shared = texts.sparkSession.sparkContext.broadcast((model, lookup))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, look = shared.value
+        net = copy.deepcopy(net)
+        adam, seen, docs = Adam(net), 0, 0
+        held, size = [], 0
+
+        def settle() -> None:
+            nonlocal seen, docs, size
+            low, starts, ends, ptr = words(*buffers(pa.concat_arrays(held)))
+            seen += learn(net, adam, *with_ends(look(word_hashes(low, starts, ends))[2], ptr), lambda _: rate)[1]
+            docs += len(ptr) - 1
+            held.clear()
+            size = 0
+
+        for batch in batches:
+            for part in slices(batch, 0, LEARN_BYTES):
+                held.append(part.column(0))
+                size += part.column(0).nbytes
+                if size >= LEARN_BYTES:
+                    settle()
+        if held:
+            settle()
+        if seen:
+            yield pa.RecordBatch.from_pydict({"words": [seen], "docs": [docs], "weights": [np.concatenate([a.ravel() for a in net.p.values()]).astype(np.float32).tobytes()]})
+
+    learnt = texts.coalesce(tasks).mapInArrow(run, "words long, docs long, weights binary").rdd
+    found = learnt.map(lambda r: (r[0], r[1], np.frombuffer(bytes(r[2]), np.float32).astype(np.float64) * r[0])).treeAggregate(None, added, added, 3)
+    shared.unpersist()
+    if found is None:
+        return 0, 0
+    mean, at = (found[2] / found[0]).astype(np.float32), 0
+    for k, a in model.p.items():
+        model.p[k] = mean[at : at + a.size].reshape(a.shape)
+        at += a.size
+    return found[0], found[1]
+
+
+def train_on_all(model: GRU, lookup: Lookup, training: DataFrame, n_words: int, n_docs: int, train_docs: int, epochs: int, rate: float = 0.01) -> tuple[int, int]:
+    """Every row of ``training`` (doc_id, text) is learnt from; few rows up to ``epochs`` times, until ``train_docs`` * ``epochs`` were read. Returns the sums of train_round()."""
+    if not n_docs or not epochs:
+        return 0, 0
+    passes = min(epochs, max(1, -(-train_docs * epochs // n_docs)))
+    rounds = passes if passes > 1 else ROUNDS
+    tasks, out = max(1, n_words // TASK_WORDS), (0, 0)
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(rounds))
+    for r in range(rounds):
+        own = training if passes > 1 else training.filter(bucket == r)
+        got = train_round(model, lookup, own.select("text"), rate * (1 - 0.9 * r / rounds), tasks)
+        out = out[0] + got[0], out[1] + got[1]
     return out
 
 
@@ -263,7 +349,8 @@ def with_ends(ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def language_model_scores(docs: DataFrame, held_out_mod: int = 10, vocabulary: int = 2304, frequent: int = 131_072, train_docs: int = 700, epochs: int = 8) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
-    Learns from rows with crc32(doc_id) mod ``held_out_mod`` other than 0. Scores are log10; score is the model's,
+    Learns from all rows with crc32(doc_id) mod ``held_out_mod`` other than 0, once if they are many and up to ``epochs``
+    times below ``train_docs`` * ``epochs`` rows; the weights depend on how the rows lie in partitions. Scores are log10; score is the model's,
     base_score the smoothed unigram's. A null text is empty: its one token is the end. Repeated rows come back as often;
     without any training row all counts are 0. A null doc_id is never held out. Other columns are ignored.
     """
@@ -281,12 +368,7 @@ def language_model_scores(docs: DataFrame, held_out_mod: int = 10, vocabulary: i
     known = c[: vocabulary - 2]
     rare_mass = (n_all - end_count - int(known.sum())) + SMOOTH * (v_all - len(known))  # smoothed mass of all rarer words, unseen ones as one
     model = GRU(np.concatenate([[end_count, rare_mass], known]).astype(float))
-    # A bounded sample (about ``train_docs`` rows by a hash of the id); everything else covers all rows.
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) < train_docs / max(1, end_count) * (1 << 30)
-    sample = sorted(training.filter(drawn).limit(2 * train_docs).collect(), key=lambda r: (str(r[0]), r[1] or ""))  # the limit holds if one row repeats without end
-    if sample:
-        low, starts, ends, ptr = words(*buffers(pa.array([r["text"] for r in sample], pa.string())))
-        train(model, *with_ends(lookup(word_hashes(low, starts, ends))[2], ptr), epochs=epochs)
+    train_on_all(model, lookup, training, n_all, int(end_count), train_docs, epochs)
     shared = spark.sparkContext.broadcast((model, lookup))  # sizes fixed by ``vocabulary`` and ``frequent``
     scale = np.log10(n_all + SMOOTH * (v_all + 1))
 
