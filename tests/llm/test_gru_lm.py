@@ -68,11 +68,14 @@ def test_probabilities_sum_to_one():
 def test_gradient_against_differences():
     rng = np.random.default_rng(4)
     m = net()
-    m.p = {k: (v.astype(np.float64) + rng.normal(0, 0.3, v.shape) * (k != "bo")) for k, v in m.p.items()}
+    m.flat = m.flat.astype(np.float64)
+    m.p = m.parts(m.flat)
+    for k, v in m.p.items():
+        v += rng.normal(0, 0.3, v.shape) * (k != "bo")
     x, y = rng.integers(0, 11, (6, 3)), rng.integers(0, 11, (6, 3))
     keep, valid = (rng.random((6, 3)) > 0.3).astype(float), rng.random((6, 3)) > 0.2
     h = np.zeros((3, 5))
-    _, grad, _ = m.gradient(x, y, keep, valid, h)
+    grad = m.parts(m.gradient(x, y, keep, valid, h)[1])
     for name in ("wx", "b", "u", "wc", "bc", "wo", "bo"):
         flat = m.p[name].reshape(-1)
         for k in rng.integers(0, flat.size, 6):
@@ -119,14 +122,49 @@ def test_training_reads_every_training_document(spark):
     rows = [(k, f"a b w{k} c") for k in range(3000)] + [(5000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     lookup = M.Lookup(np.array([1], np.uint64), np.array([1]), 4)
-    for train_docs, epochs, passes in ((700, 2, 1), (10, 8, 1), (3001, 2, 2)):
+    for epochs in (1, 2):
         model = net()
         before = {k: v.copy() for k, v in model.p.items()}
         n = sum(len(tokens(t)) for _, t in rows)
-        assert M.train_on_all(model, lookup, docs, n, len(rows), train_docs, epochs) == (n * passes, len(rows) * passes)
+        assert M.train_on_all(model, lookup, docs, n, epochs) == (n * epochs, len(rows) * epochs)
         assert any((model.p[k] != before[k]).any() for k in before) and all(np.isfinite(v).all() for v in model.p.values())
 
 
+def test_lanes_hold_every_word_once_and_no_more():
+    rng = np.random.default_rng(8)
+    ptr = np.concatenate([[0, 400_000], 400_000 + np.cumsum(rng.integers(0, 9, 255))])  # one long text among short ones
+    ids = rng.integers(2, 30, ptr[-1]).astype(np.int32)
+    lanes = M.Lanes(M.words_before(ids, ptr), ids, ptr, 256)
+    assert sum(a.nbytes for a in (lanes.x, lanes.y, lanes.doc, lanes.first)) < 20 * len(ids)
+    seen = {d: [] for d in range(256)}
+    for x, y, keep, doc, valid in lanes.windows(1000):
+        assert x.size <= 256 * 1000
+        for k in range(x.shape[1]):
+            own = valid[:, k]
+            for d in np.unique(doc[own, k]):
+                seen[d].append(y[own & (doc[:, k] == d), k])
+            assert ((keep[own, k] == 0) == (x[own, k] == M.END)).all()
+    for d in range(256):
+        assert np.array_equal(np.concatenate([*seen[d], np.zeros(0, int)]), ids[ptr[d] : ptr[d + 1]])
+    cut = M.segments(ptr, 1024)
+    assert set(ptr) <= set(cut) and np.diff(cut).max() <= 1024 and np.diff(cut).min() > 0
+
+
+def test_words_of_held_out_rows_alone_count_as_unseen(spark):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
+    rows = [(held, "new " * 50), (1, "a b"), (2, "a")]
+    for frequent in (1, 100):
+        found = {r["doc_id"]: r for r in M.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()}
+        for i, want in brute(rows).items():
+            assert (found[i]["n_known"], found[i]["train_tokens"]) == (want[2], want[3]) and abs(found[i]["base_score"] - want[4]) < 1e-6
+
+
+def test_frequent_words_fill_up_a_class(spark):
+    counts = spark.createDataFrame([(k, 1, 1) for k in range(4000)] + [(9000 + k, 50, 50) for k in range(10)], "h long, c long, t long")
+    found = {r["h"] for r in M._most_frequent(counts, 1000)}
+    assert set(range(9000, 9010)) <= found and 800 < len(found) < 1200
+
+
 def test_a_round_averages_tasks_by_words(spark):
     lookup = M.Lookup(np.array([], np.uint64), np.array([]), 4)
 

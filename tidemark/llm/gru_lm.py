@@ -1,20 +1,23 @@
 """A gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, whole documents.
 
-Counts of all training words come from the whole corpus by one aggregation. The model's vocabulary is the most frequent
+Counts of all words come from the whole corpus by one aggregation. The model's vocabulary is the most frequent training
 words, the end and one entry for all rarer words; a rare word has the probability of that entry times its smoothed share
 of the rare mass, so every text has a probability. Output biases start at the corpus's unigram frequencies; the network
-is trained on all training documents in rounds: each task starts from the round's weights, learns from its own documents
-and the weights of all tasks are averaged by words in the tasks. The number of tasks grows with the words, so a task's work
-does not. Documents are scored in lanes that advance in step: a lane's state is carried from window to window and cleared
-where its next document begins.
-
-Counts of the ``frequent`` words (a fixed number) go to every task; rarer words of each document are joined with the
-table of counts by their hash and summed, so no table that grows with the corpus is broadcast.
+is trained on all training documents in rounds, at every size alike: each task starts from the round's weights, learns
+from its own documents and the weights of all tasks are averaged by words in the tasks. The number of tasks grows with the
+words, so a task's work does not. For learning, a document is cut into segments of ``SEGMENT`` words, so that lanes end
+together; the state goes on from window to window within a segment. Documents are scored whole, in lanes that advance in
+step: a lane's state is carried from window to window and cleared where its next document begins.
+
+Counts of the ``frequent`` words (a fixed number, by all rows, so that a word which only held-out texts hold is there too)
+go to every task; rarer words of each document are joined with the table of counts by their hash and summed, so no table
+that grows with the corpus is broadcast and no hash is hot.
 """
 
 from __future__ import annotations
 
 import copy
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +36,12 @@ END_HASH = 0x0E0D
 END, RARE = 0, 1
 SMOOTH = 0.1
 HIDDEN, WINDOW, LANES = 24, 32, 256
+#: Lanes and the longest run of words in learning; a step sees LEARN_LANES * WINDOW words.
+LEARN_LANES, SEGMENT = 128, 1024
 #: Rounds of averaging in a single pass over the documents; about so many words of a pass and bytes of text a task learns from.
 ROUNDS, TASK_WORDS, LEARN_BYTES = 4, 1 << 21, 4 << 20
 
 
-def softmax_log(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -58,91 +58,126 @@ class GRU:
         share = np.full(self.classes * self.size, 1e-30)
         share[:n] = (counts + 0.5) / (counts + 0.5).sum()
         box = share.reshape(self.classes, self.size)
-        self.p = {
+        first = {
             "wx": f(n, 3 * hidden), "b": np.zeros(3 * hidden, np.float32), "u": f(hidden, 3 * hidden),
             "wc": f(hidden, self.classes) * 0.1, "bc": np.log(box.sum(1)).astype(np.float32),
             "wo": f(self.classes, hidden, self.size) * 0.1, "bo": np.log(box / box.sum(1, keepdims=True)).astype(np.float32),
         }
         self.hidden = hidden
+        self.shapes = {k: a.shape for k, a in first.items()}
+        self.flat = np.concatenate([a.ravel() for a in first.values()]).astype(np.float32)
+        self.p = self.parts(self.flat)
+
+    def parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of an array as long as all weights, by name."""
+        out, at = {}, 0
+        for k, shape in self.shapes.items():
+            n = int(np.prod(shape))
+            out[k] = flat[at : at + n].reshape(shape)
+            at += n
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "p"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.p = self.parts(self.flat)
 
-    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States after each of the (time, lane) words; keep is 0 where a lane's document begins."""
+    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: dict | None = None) -> np.ndarray:
+        """States after each of the (time, lane) words; keep is 0 where a lane's document begins. ``trace`` takes what the gradient needs."""
         p, k = self.p, self.hidden
-        gx = p["wx"][x] + p["b"]
-        out = np.empty((*x.shape, k), np.float32)
+        gx = p["wx"][x]
+        gx += p["b"]
+        out = np.empty((*x.shape, k), gx.dtype)
+        if trace is not None:
+            trace |= {name: np.empty_like(out) for name in ("before", "z", "r", "c", "inner")}
         for t in range(len(x)):
             h = h * keep[t][:, None]
             gh = h @ p["u"]
             zr = sigmoid(gx[t, :, : 2 * k] + gh[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(gx[t, :, 2 * k :] + r * gh[:, 2 * k :])
+            z, r, inner = zr[:, :k], zr[:, k:], gh[:, 2 * k :]
+            c = np.tanh(gx[t, :, 2 * k :] + r * inner)
             if trace is not None:
-                trace.append((h, z, r, c, gh[:, 2 * k :]))
+                for name, value in zip(("before", "z", "r", "c", "inner"), (h, z, r, c, inner), strict=True):
+                    trace[name][t] = value
             h = c + z * (h - c)
             out[t] = h
         return out
 
     def log_probs(self, states: np.ndarray, y: np.ndarray, grad: dict | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of the probability of each next word; with ``grad`` also the gradient of the states (of -weight * sum)."""
+        """Natural log of the probability of each next word; with ``grad`` (zeros) also the gradient of the states (of -weight * sum)."""
         p = self.p
         kind, place = y // self.size, y % self.size
-        lc = softmax_log(states @ p["wc"] + p["bc"])
-        out = lc[np.arange(len(y)), kind]
-        d = None
-        if grad is not None:
-            g = np.exp(lc) * weight
-            g[np.arange(len(y)), kind] -= weight
-            grad["wc"], grad["bc"], d = states.T @ g, g.sum(0), g @ p["wc"].T
-            grad["wo"], grad["bo"] = np.zeros_like(p["wo"]), np.zeros_like(p["bo"])
         order = np.argsort(kind, kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        out, share = self._chosen(states @ p["wc"] + p["bc"], kind, weight if grad is not None else 0)
+        d = None
+        if grad is not None:
+            np.matmul(states.T, share, out=grad["wc"])
+            share.sum(0, out=grad["bc"])
+            d = share @ p["wc"].T
         for c in range(self.classes):
             own = order[bounds[c] : bounds[c + 1]]
             if not len(own):
                 continue
             s = states[own]
-            lw = softmax_log(s @ p["wo"][c] + p["bo"][c])
-            out[own] += lw[np.arange(len(own)), place[own]]
+            lp, share = self._chosen(s @ p["wo"][c] + p["bo"][c], place[own], weight if grad is not None else 0)
+            out[own] += lp
             if grad is not None:
-                g = np.exp(lw) * weight
-                g[np.arange(len(own)), place[own]] -= weight
-                grad["wo"][c], grad["bo"][c] = s.T @ g, g.sum(0)
-                d[own] += g @ p["wo"][c].T
+                grad["wo"][c], grad["bo"][c] = s.T @ share, share.sum(0)
+                d[own] += share @ p["wo"][c].T
         return out, d
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    @staticmethod
+    def _chosen(x: np.ndarray, which: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+        """Log of the softmax of each row at ``which``; with a weight also the gradient of -weight * its sum. ``x`` is used up."""
+        x -= x.max(1, keepdims=True)
+        row = np.arange(len(x))
+        chosen = x[row, which]
+        share = np.exp(x, out=x)
+        total = share.sum(1)
+        if weight:
+            share *= (weight / total)[:, None]
+            share[row, which] -= weight
+        return chosen - np.log(total), share
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Mean negative log probability of a window, its gradient (cut at the window's start) and the last state."""
-        p, k, trace, grad = self.p, self.hidden, [], {}
+        p, k, trace, flat = self.p, self.hidden, {}, np.zeros_like(self.flat)
+        grad = self.parts(flat)
         states = self.states(x, keep, h, trace)
         own = valid.ravel()
         lp, ds = self.log_probs(states.reshape(-1, k)[own], y.ravel()[own], grad, 1.0 / max(1, own.sum()))
-        d = np.zeros((own.size, k), np.float32)
+        d = np.zeros((own.size, k), states.dtype)
         d[own] = ds
         d = d.reshape(*x.shape, k)
-        gx = np.empty((*x.shape, 3 * k), np.float32)
-        grad["u"], back = np.zeros_like(p["u"]), np.zeros_like(h)
+        before, z, r, c, inner = (trace[name] for name in ("before", "z", "r", "c", "inner"))
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), inner * r * (1 - r)
+        gh, dc = np.empty((*x.shape, 3 * k), states.dtype), np.empty_like(d)
+        back, up = np.zeros_like(d[0]), np.ascontiguousarray(p["u"].T)
         for t in reversed(range(len(x))):
-            before, z, r, c, ghc = trace[t]
             g = d[t] + back
-            dc = g * (1 - z) * (1 - c * c)
-            dz = g * (before - c) * z * (1 - z)
-            dr = dc * ghc * r * (1 - r)
-            gh = np.concatenate([dz, dr, dc * r], 1)
-            gx[t] = np.concatenate([dz, dr, dc], 1)
-            grad["u"] += before.T @ gh
-            back = (g * z + gh @ p["u"].T) * keep[t][:, None]
-        grad["b"] = gx.sum((0, 1))
-        grad["wx"] = np.zeros_like(p["wx"])
+            np.multiply(g, to_c[t], out=dc[t])
+            np.multiply(g, to_z[t], out=gh[t, :, :k])
+            np.multiply(dc[t], to_r[t], out=gh[t, :, k : 2 * k])
+            np.multiply(dc[t], r[t], out=gh[t, :, 2 * k :])
+            back = gh[t] @ up
+            g *= z[t]
+            back += g
+            back *= keep[t][:, None]
+        flat_gh = gh.reshape(-1, 3 * k)
+        grad["u"][:] = before.reshape(-1, k).T @ flat_gh
+        gh[:, :, 2 * k :] = dc
+        flat_gh.sum(0, out=grad["b"])
         order = np.argsort(x.ravel(), kind="stable")
         first = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
-        grad["wx"][x.ravel()[order[first]]] = np.add.reduceat(gx.reshape(-1, 3 * k)[order], first)
-        return float(-lp.sum() / max(1, own.sum())), grad, states[-1]
+        grad["wx"][x.ravel()[order[first]]] = np.add.reduceat(flat_gh[order], first)
+        return float(-lp.sum() / max(1, own.sum())), flat, states[-1]
 
 
 def lanes_of(lengths: np.ndarray, most: int) -> list[list[int]]:
     """Documents dealt to at most ``most`` lanes, longest first to the lane that ends first; lanes by falling length."""
-    import heapq
-
     heap = [(0, k) for k in range(max(1, min(most, len(lengths))))]
     lanes: list[list[int]] = [[] for _ in heap]
     total = [0] * len(heap)
@@ -154,47 +189,74 @@ def lanes_of(lengths: np.ndarray, most: int) -> list[list[int]]:
     return [lanes[k] for k in sorted(range(len(lanes)), key=lambda k: (-total[k], k)) if lanes[k]]
 
 
-def lane_arrays(ids: np.ndarray, ptr: np.ndarray, lanes: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(time, lane): next word, word before it, whether the document goes on, its number (-1 beyond a lane's end)."""
-    sizes = np.array([sum(int(ptr[d + 1] - ptr[d]) for d in lane) for lane in lanes], np.int64)
-    y = np.zeros((sizes.max(initial=0), len(lanes)), np.int32)
-    x, keep, doc = np.zeros_like(y), np.zeros(y.shape, np.float32), np.full(y.shape, -1, np.int32)
-    for k, lane in enumerate(lanes):
-        at = 0
-        for d in lane:
-            own = ids[ptr[d] : ptr[d + 1]]
-            y[at : at + len(own), k] = own
-            x[at, k], x[at + 1 : at + len(own), k] = END, own[:-1]
-            keep[at + 1 : at + len(own), k] = 1
-            doc[at : at + len(own), k] = d
-            at += len(own)
-    return x, y, keep, doc
+class Lanes:
+    """Documents dealt to lanes; as large as the words, whatever the longest lane. Windows are cut out when they are read."""
+
+    def __init__(self, before: np.ndarray, ids: np.ndarray, ptr: np.ndarray, most: int):
+        lanes = lanes_of(np.diff(ptr), most)
+        order = np.array([d for lane in lanes for d in lane], np.int64)
+        n = np.diff(ptr)[order]
+        at = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(ptr[order] - at[:-1], n) + np.arange(at[-1])
+        self.x, self.y, self.doc = before[place], ids[place], np.repeat(order, n).astype(np.int32)
+        self.first = np.zeros(len(place), bool)
+        self.first[at[:-1][n > 0]] = True
+        self.size = np.array([sum(int(ptr[d + 1] - ptr[d]) for d in lane) for lane in lanes], np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+
+    def windows(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(time, lane) arrays: word before, next word, whether the document goes on, its number, whether there is one; lanes that ended are left out."""
+        for a in range(0, int(self.size.max(initial=0)), length):
+            n = int((self.size > a).sum())
+            t = np.arange(a, min(a + length, int(self.size[0])))[:, None]
+            valid = t < self.size[:n]
+            at = np.where(valid, self.base[:n] + t, self.base[:n])
+            yield self.x[at], self.y[at], (~self.first[at]).astype(np.float32), self.doc[at], valid
+
+
+def words_before(ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """The word before each word; END before a document's first."""
+    out = np.concatenate([[END], ids[:-1]]).astype(np.int32)[: len(ids)]
+    out[ptr[:-1][np.diff(ptr) > 0]] = END
+    return out
+
+
+def segments(ptr: np.ndarray, most: int) -> np.ndarray:
+    """``ptr`` with documents cut after every ``most`` words."""
+    n = np.diff(ptr)
+    parts = -(-n // most)
+    first = np.cumsum(parts) - parts
+    return np.append(np.repeat(ptr[:-1], parts) + most * (np.arange(parts.sum()) - np.repeat(first, parts)), ptr[-1])
 
 
 class Adam:
     def __init__(self, model: GRU):
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
-        self.step = 0
+        self.m, self.v, self.work, self.step = np.zeros_like(model.flat), np.zeros_like(model.flat), np.empty_like(model.flat), 0
 
-    def update(self, model: GRU, grad: dict, rate: float) -> None:
+    def update(self, model: GRU, g: np.ndarray, rate: float) -> None:
         self.step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        for k, g in grad.items():
-            g = g * min(1.0, 1.0 / max(norm, 1e-9))
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-            model.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32)
-
-
-def learn(model: GRU, adam: Adam, ids: np.ndarray, ptr: np.ndarray, rate, lanes: int = 48, window: int = WINDOW) -> tuple[float, int]:
+        g *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9)))
+        self.m *= np.float32(0.9)
+        np.multiply(g, np.float32(0.1), out=self.work)
+        self.m += self.work
+        self.v *= np.float32(0.99)
+        np.multiply(g, g, out=self.work)
+        self.work *= np.float32(0.01)
+        self.v += self.work
+        np.sqrt(self.v, out=self.work)
+        self.work *= np.float32(1 / np.sqrt(1 - 0.99**self.step))
+        self.work += np.float32(1e-6)
+        np.divide(self.m, self.work, out=self.work)
+        self.work *= np.float32(rate / (1 - 0.9**self.step))
+        model.flat -= self.work
+
+
+def learn(model: GRU, adam: Adam, ids: np.ndarray, ptr: np.ndarray, rate, lanes: int = LEARN_LANES, window: int = WINDOW) -> tuple[float, int]:
     """One pass of truncated backpropagation; the state goes on from window to window. ``rate`` gives a step's rate by its number. Returns the loss and the words."""
-    x, y, keep, doc = lane_arrays(ids, ptr, lanes_of(np.diff(ptr), lanes))
-    active = (doc >= 0).sum(1)
-    h, losses, mass = np.zeros((x.shape[1], model.hidden), np.float32), 0.0, 0
-    for a in range(0, len(x), window):
-        part, n = slice(a, a + window), int(active[a])
-        valid = doc[part, :n] >= 0
-        loss, grad, h = model.gradient(x[part, :n], y[part, :n], keep[part, :n], valid, h[:n])
+    h, losses, mass = None, 0.0, 0
+    for x, y, keep, _, valid in Lanes(words_before(ids, ptr), ids, segments(ptr, SEGMENT), lanes).windows(window):
+        n = x.shape[1]
+        loss, grad, h = model.gradient(x, y, keep, valid, np.zeros((n, model.hidden), np.float32) if h is None else h[:n])
         losses, mass = losses + loss * valid.sum(), mass + int(valid.sum())
         adam.update(model, grad, rate(adam.step + 1))
     return float(losses), mass
@@ -203,10 +265,8 @@ def learn(model: GRU, adam: Adam, ids: np.ndarray, ptr: np.ndarray, rate, lanes:
 def train(model: GRU, ids: np.ndarray, ptr: np.ndarray, epochs: int = 8, rate: float = 0.01, lanes: int = 48, window: int = WINDOW) -> list[float]:
     """``epochs`` passes with a falling rate. Returns each one's mean loss."""
     adam, out = Adam(model), []
-    longest = max((sum(int(ptr[d + 1] - ptr[d]) for d in lane) for lane in lanes_of(np.diff(ptr), lanes)), default=0)
-    total = max(1, epochs * -(-longest // window))
-    for _ in range(epochs):
-        loss, mass = learn(model, adam, ids, ptr, lambda step: rate * (1 - 0.9 * step / total), lanes, window)
+    for e in range(epochs):
+        loss, mass = learn(model, adam, ids, ptr, lambda _, e=e: rate * (1 - 0.9 * e / epochs), lanes, window)
         out.append(loss / max(1, mass))
     return out
 
@@ -245,86 +305,94 @@ def train_round(model: GRU, lookup: Lookup, texts: DataFrame, rate: float, tasks
         if held:
             settle()
         if seen:
-            yield pa.RecordBatch.from_pydict({"words": [seen], "docs": [docs], "weights": [np.concatenate([a.ravel() for a in net.p.values()]).astype(np.float32).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"words": [seen], "docs": [docs], "weights": [net.flat.tobytes()]})
 
     learnt = texts.coalesce(tasks).mapInArrow(run, "words long, docs long, weights binary").rdd
     found = learnt.map(lambda r: (r[0], r[1], np.frombuffer(bytes(r[2]), np.float32).astype(np.float64) * r[0])).treeAggregate(None, added, added, 3)
     shared.unpersist()
     if found is None:
         return 0, 0
-    mean, at = (found[2] / found[0]).astype(np.float32), 0
-    for k, a in model.p.items():
-        model.p[k] = mean[at : at + a.size].reshape(a.shape)
-        at += a.size
+    model.flat[:] = found[2] / found[0]
     return found[0], found[1]
 
 
-def train_on_all(model: GRU, lookup: Lookup, training: DataFrame, n_words: int, n_docs: int, train_docs: int, epochs: int, rate: float = 0.01) -> tuple[int, int]:
-    """Every row of ``training`` (doc_id, text) is learnt from; few rows up to ``epochs`` times, until ``train_docs`` * ``epochs`` were read. Returns the sums of train_round()."""
-    if not n_docs or not epochs:
-        return 0, 0
-    passes = min(epochs, max(1, -(-train_docs * epochs // n_docs)))
-    rounds = passes if passes > 1 else ROUNDS
-    tasks, out = max(1, n_words // TASK_WORDS), (0, 0)
-    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(rounds))
+def train_on_all(model: GRU, lookup: Lookup, training: DataFrame, n_words: int, epochs: int = 1, rate: float = 0.03) -> tuple[int, int]:
+    """Every row of ``training`` (doc_id, text) is learnt from ``epochs`` times, in ROUNDS parts each. Returns the sums of train_round()."""
+    tasks, out, rounds = max(1, n_words // TASK_WORDS), (0, 0), epochs * ROUNDS
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(ROUNDS))
     for r in range(rounds):
-        own = training if passes > 1 else training.filter(bucket == r)
-        got = train_round(model, lookup, own.select("text"), rate * (1 - 0.9 * r / rounds), tasks)
+        got = train_round(model, lookup, training.filter(bucket == r % ROUNDS).select("text"), rate * (1 - 0.9 * r / rounds), tasks)
         out = out[0] + got[0], out[1] + got[1]
     return out
 
 
 def score(model: GRU, ids: np.ndarray, ptr: np.ndarray, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
     """Natural log probability of each document under the model's vocabulary."""
-    x, y, keep, doc = lane_arrays(ids, ptr, lanes_of(np.diff(ptr), lanes))
-    out, h = np.zeros(len(ptr) - 1), np.zeros((x.shape[1], model.hidden), np.float32)
-    active = (doc >= 0).sum(1)
-    for a in range(0, len(x), window):
-        part, n = slice(a, a + window), int(active[a])
-        states = model.states(x[part, :n], keep[part, :n], h[:n])
+    out, h = np.zeros(len(ptr) - 1), None
+    held, size = [], 0
+
+    def settle() -> None:
+        states, y, doc = (np.concatenate(a) for a in zip(*held, strict=True))
+        out[:] += np.bincount(doc, model.log_probs(states, y)[0], len(out))
+        held.clear()
+
+    for x, y, keep, doc, valid in Lanes(words_before(ids, ptr), ids, ptr, lanes).windows(window):
+        n = x.shape[1]
+        states = model.states(x, keep, np.zeros((n, model.hidden), np.float32) if h is None else h[:n])
         h = states[-1]
-        valid = doc[part, :n].ravel() >= 0
-        lp, _ = model.log_probs(states.reshape(-1, model.hidden)[valid], y[part, :n].ravel()[valid])
-        out += np.bincount(doc[part, :n].ravel()[valid], lp, len(out))
+        held.append((states[valid], y[valid], doc[valid]))
+        size += len(held[-1][1])
+        if size >= 4096:  # where few lanes are left, windows are gathered
+            settle()
+            size = 0
+    if held:
+        settle()
     return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): counts of all words of ``docs`` (text) and, under END_HASH, the number of rows."""
+    """(h, c, t): counts of all words of ``docs`` (text, held) in rows that are not held and in all, and under END_HASH the numbers of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, 16 << 20):
-                low, starts, ends, _ = words(*buffers(part.column(0)))
-                h, c = np.unique(word_hashes(low, starts, ends), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": np.append(h.view(np.int64), END_HASH), "c": np.append(c.astype(np.int64), part.num_rows)})
+                low, starts, ends, ptr = words(*buffers(part.column(0)))
+                found = word_hashes(low, starts, ends)
+                held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                of = np.repeat(held, np.diff(ptr))
+                for flag in (False, True):
+                    h, n = np.unique(found[of == flag], return_counts=True)
+                    n = np.append(n, (held == flag).sum()).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"h": np.append(h.view(np.int64), END_HASH), "c": np.zeros_like(n) if flag else n, "t": n})
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text", "held").mapInArrow(run, "h long, c long, t long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list:
-    """The words of the highest classes of counts (sixteenths of a power of two) that hold at most ``most`` words together.
+    """The words of the highest classes of counts (sixteenths of a power of two) that hold at most ``most`` words together,
+    and of the next class a share by hash that fills it up.
 
     No task sends more than what is kept: the classes' sizes come first, about a thousand rows at most.
     """
-    kind = F.floor(F.log2("c") * 16)
-    sizes, held, least = sorted(counts.groupBy(kind.alias("k")).count().collect(), key=lambda r: -r["k"]), 0, None
-    for r in sizes:
+    kind, share = F.floor(F.log2("t") * 16), F.pmod(F.xxhash64("h"), F.lit(1 << 20))
+    held = 0
+    for r in sorted(counts.groupBy(kind.alias("k")).count().collect(), key=lambda r: -r["k"]):
+        if held + r["count"] > most:
+            return counts.filter((kind > r["k"]) | (kind == r["k"]) & (share < (most - held) * (1 << 20) // r["count"])).collect()
         held += r["count"]
-        if held > most:
-            break
-        least = r["k"]
-    return counts.filter(kind >= least).collect() if least is not None else []
+    return counts.collect()
 
 
 class Lookup:
     """Counts and model numbers of the frequent words by hash."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, vocabulary: int):
+        """``counts`` by falling size; words without one get no number."""
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         number = np.full(len(hashes), RARE, np.int32)
-        number[: vocabulary - 2] = np.arange(2, 2 + len(number[: vocabulary - 2]))
+        own = min(vocabulary - 2, int((counts > 0).sum()))
+        number[:own] = np.arange(2, 2 + own)
         self.number = number[order]
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,29 +414,29 @@ def with_ends(ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, out_ptr
 
 
-def language_model_scores(docs: DataFrame, held_out_mod: int = 10, vocabulary: int = 2304, frequent: int = 131_072, train_docs: int = 700, epochs: int = 8) -> DataFrame:
+def language_model_scores(docs: DataFrame, held_out_mod: int = 10, vocabulary: int = 4096, frequent: int = 131_072, epochs: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text).
 
-    Learns from all rows with crc32(doc_id) mod ``held_out_mod`` other than 0, once if they are many and up to ``epochs``
-    times below ``train_docs`` * ``epochs`` rows; the weights depend on how the rows lie in partitions. Scores are log10; score is the model's,
-    base_score the smoothed unigram's. A null text is empty: its one token is the end. Repeated rows come back as often;
-    without any training row all counts are 0. A null doc_id is never held out. Other columns are ignored.
+    Learns from all rows with crc32(doc_id) mod ``held_out_mod`` other than 0, ``epochs`` times; the weights depend on how
+    the rows lie in partitions. Scores are log10; score is the model's, base_score the smoothed unigram's. A null text is
+    empty: its one token is the end. A text of any length is scored whole, in memory linear in its words. Repeated rows come
+    back as often; without any training row all counts are 0. A null doc_id is never held out. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    training = docs.filter(~held_out(F.col("doc_id"), held_out_mod))
-    counts = stored(word_counts(training), "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    held = held_out(F.col("doc_id"), held_out_mod)
+    counts = stored(word_counts(docs.select("text", held.alias("held"))), "counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n_all, v_all = int(total[0]), int(total[1])
     found = counts.filter(F.col("h") == END_HASH).collect()
     end_count = found[0]["c"] if found else 0
     top = sorted(_most_frequent(counts.filter(F.col("h") != END_HASH), frequent), key=lambda r: (-r["c"], r["h"]))
     hashes, c = np.array([r["h"] for r in top], np.int64).view(U64), np.array([r["c"] for r in top], np.int64)
     lookup = Lookup(hashes, c, vocabulary)
-    known = c[: vocabulary - 2]
+    known = c[c > 0][: vocabulary - 2]
     rare_mass = (n_all - end_count - int(known.sum())) + SMOOTH * (v_all - len(known))  # smoothed mass of all rarer words, unseen ones as one
     model = GRU(np.concatenate([[end_count, rare_mass], known]).astype(float))
-    train_on_all(model, lookup, training, n_all, int(end_count), train_docs, epochs)
+    train_on_all(model, lookup, docs.filter(~held), n_all, epochs)
     shared = spark.sparkContext.broadcast((model, lookup))  # sizes fixed by ``vocabulary`` and ``frequent``
     scale = np.log10(n_all + SMOOTH * (v_all + 1))
 
@@ -389,14 +457,14 @@ def language_model_scores(docs: DataFrame, held_out_mod: int = 10, vocabulary: i
                 lp += share - np.bincount(doc[model_rare], minlength=n) * np.log10(max(rare_mass, SMOOTH))
                 far, cuts = h[~hit].view(np.int64), np.concatenate([[0], np.cumsum(~hit)])[ptr]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(n)), part.column(0), pa.array(np.diff(ptr) + 1), pa.array(np.bincount(doc[hit], minlength=n) + int(end_count > 0)), pa.array(base), pa.array(lp), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(far))],
+                    [pa.array(row + np.arange(n)), part.column(0), pa.array(np.diff(ptr) + 1), pa.array(np.bincount(doc[hit & (count > 0)], minlength=n) + int(end_count > 0)), pa.array(base), pa.array(lp), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(far))],
                     names=["row", "doc_id", "n_tokens", "known", "base", "lp", "far"],
                 )
                 row += n
 
     kind = dict(docs.dtypes)["doc_id"]
     scored = stored(docs.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, lp double, far array<long>"), "scored")
-    far = scored.select("row", F.explode("far").alias("h"))  # words that are rare, so no hash is hot
+    far = scored.select("row", F.explode("far").alias("h"))  # words that are rare in all rows, so no hash is hot
     gathered = far.join(counts, "h", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("logs"), F.count_if(F.col("c") > 0).alias("more")
     )
