@@ -35,9 +35,10 @@ from tidemark.llm.textops import U64, buffers, word_hashes, words
 END_HASH = 0x0E0D
 END, RARE = 0, 1
 SMOOTH = 0.1
-HIDDEN, WINDOW, LANES = 24, 32, 256
+HIDDEN, WINDOW, LANES, CLASSES = 24, 32, 256, 32
 #: Lanes and the longest run of words in learning; a step sees LEARN_LANES * WINDOW words.
-LEARN_LANES, SEGMENT = 128, 1024
+LEARN_LANES, SEGMENT = 256, 1024
+LEADING = 18
 #: Rounds of averaging in a single pass over the documents; about so many words of a pass and bytes of text a task learns from.
 ROUNDS, TASK_WORDS, LEARN_BYTES = 4, 1 << 21, 4 << 20
 
@@ -46,22 +47,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def class_edges(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Where classes of words begin (and the end): the first two words are one class, the others have like sums of root counts."""
+    n = len(counts)
+    if n <= 2:
+        return np.array([0, n])
+    mass = np.cumsum(np.sqrt(counts[2:] + 0.5))
+    cuts = 2 + np.searchsorted(mass, mass[-1] * np.arange(1, classes - 1) / max(1, classes - 1))
+    return np.unique(np.concatenate([[0, 2], cuts[cuts < n], [n]]))
+
+
 class GRU:
-    """Words are numbered by falling frequency, class k holds words k*size to (k+1)*size - 1."""
+    """Words are numbered by falling frequency after the end and the entry for rarer words; a class is a run of numbers."""
 
-    def __init__(self, counts: np.ndarray, hidden: int = HIDDEN, seed: int = 3):
+    def __init__(self, counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = 3):
         n = len(counts)
-        self.n, self.size = n, max(1, int(np.ceil(np.sqrt(n))))
-        self.classes = -(-n // self.size)
+        self.edges = class_edges(counts, classes)
+        self.classes = len(self.edges) - 1
+        self.kind = np.repeat(np.arange(self.classes), np.diff(self.edges)).astype(np.int16)
         rng = np.random.default_rng(seed)
         f = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        share = np.full(self.classes * self.size, 1e-30)
-        share[:n] = (counts + 0.5) / (counts + 0.5).sum()
-        box = share.reshape(self.classes, self.size)
+        share = (counts + 0.5) / (counts + 0.5).sum()
+        box = np.add.reduceat(share, self.edges[:-1])
         first = {
             "wx": f(n, 3 * hidden), "b": np.zeros(3 * hidden, np.float32), "u": f(hidden, 3 * hidden),
-            "wc": f(hidden, self.classes) * 0.1, "bc": np.log(box.sum(1)).astype(np.float32),
-            "wo": f(self.classes, hidden, self.size) * 0.1, "bo": np.log(box / box.sum(1, keepdims=True)).astype(np.float32),
+            "wc": f(hidden, self.classes) * 0.1, "bc": np.log(box).astype(np.float32),
+            "wo": f(n, hidden) * 0.1, "bo": np.log(share / box[self.kind]).astype(np.float32),
         }
         self.hidden = hidden
         self.shapes = {k: a.shape for k, a in first.items()}
@@ -84,14 +95,12 @@ class GRU:
         self.__dict__.update(state)
         self.p = self.parts(self.flat)
 
-    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: dict | None = None) -> np.ndarray:
+    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
         """States after each of the (time, lane) words; keep is 0 where a lane's document begins. ``trace`` takes what the gradient needs."""
         p, k = self.p, self.hidden
         gx = p["wx"][x]
         gx += p["b"]
         out = np.empty((*x.shape, k), gx.dtype)
-        if trace is not None:
-            trace |= {name: np.empty_like(out) for name in ("before", "z", "r", "c", "inner")}
         for t in range(len(x)):
             h = h * keep[t][:, None]
             gh = h @ p["u"]
@@ -99,34 +108,39 @@ class GRU:
             z, r, inner = zr[:, :k], zr[:, k:], gh[:, 2 * k :]
             c = np.tanh(gx[t, :, 2 * k :] + r * inner)
             if trace is not None:
-                for name, value in zip(("before", "z", "r", "c", "inner"), (h, z, r, c, inner), strict=True):
-                    trace[name][t] = value
+                trace.append((h, z, r, c, inner))
             h = c + z * (h - c)
             out[t] = h
         return out
 
     def log_probs(self, states: np.ndarray, y: np.ndarray, grad: dict | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of the probability of each next word; with ``grad`` (zeros) also the gradient of the states (of -weight * sum)."""
-        p = self.p
-        kind, place = y // self.size, y % self.size
+        p, weight = self.p, weight if grad is not None else 0
+        kind = self.kind[y]
         order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        out, share = self._chosen(states @ p["wc"] + p["bc"], kind, weight if grad is not None else 0)
+        states, kind, place = states[order], kind[order], y[order] - self.edges[kind[order]]
+        bounds = np.searchsorted(kind, np.arange(self.classes + 1))
+        lp, share = self._chosen(states @ p["wc"] + p["bc"], kind, weight)
         d = None
         if grad is not None:
             np.matmul(states.T, share, out=grad["wc"])
             share.sum(0, out=grad["bc"])
             d = share @ p["wc"].T
-        for c in range(self.classes):
-            own = order[bounds[c] : bounds[c + 1]]
-            if not len(own):
+        for c, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if a == b:
                 continue
-            s = states[own]
-            lp, share = self._chosen(s @ p["wo"][c] + p["bo"][c], place[own], weight if grad is not None else 0)
-            out[own] += lp
+            own = slice(int(self.edges[c]), int(self.edges[c + 1]))
+            more, share = self._chosen(states[a:b] @ p["wo"][own].T + p["bo"][own], place[a:b], weight)
+            lp[a:b] += more
             if grad is not None:
-                grad["wo"][c], grad["bo"][c] = s.T @ share, share.sum(0)
-                d[own] += share @ p["wo"][c].T
+                grad["wo"][own], grad["bo"][own] = share.T @ states[a:b], share.sum(0)
+                d[a:b] += share @ p["wo"][own]
+        out = np.empty_like(lp)
+        out[order] = lp
+        if grad is not None:
+            back = np.empty_like(d)
+            back[order] = d
+            d = back
         return out, d
 
     @staticmethod
@@ -144,7 +158,7 @@ class GRU:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Mean negative log probability of a window, its gradient (cut at the window's start) and the last state."""
-        p, k, trace, flat = self.p, self.hidden, {}, np.zeros_like(self.flat)
+        p, k, trace, flat = self.p, self.hidden, [], np.zeros_like(self.flat)
         grad = self.parts(flat)
         states = self.states(x, keep, h, trace)
         own = valid.ravel()
@@ -152,27 +166,36 @@ class GRU:
         d = np.zeros((own.size, k), states.dtype)
         d[own] = ds
         d = d.reshape(*x.shape, k)
-        before, z, r, c, inner = (trace[name] for name in ("before", "z", "r", "c", "inner"))
-        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), inner * r * (1 - r)
-        gh, dc = np.empty((*x.shape, 3 * k), states.dtype), np.empty_like(d)
+        gh, dc = np.empty((*x.shape, 3 * k), states.dtype), d
         back, up = np.zeros_like(d[0]), np.ascontiguousarray(p["u"].T)
-        for t in reversed(range(len(x))):
+        for t in reversed(range(len(x))):  # on slices that stay in the cache
+            before, z, r, c, inner = trace[t]
             g = d[t] + back
-            np.multiply(g, to_c[t], out=dc[t])
-            np.multiply(g, to_z[t], out=gh[t, :, :k])
-            np.multiply(dc[t], to_r[t], out=gh[t, :, k : 2 * k])
-            np.multiply(dc[t], r[t], out=gh[t, :, 2 * k :])
-            back = gh[t] @ up
-            g *= z[t]
-            back += g
+            back = g * z
+            g -= back
+            to = before - c
+            to *= back
+            np.multiply(to, 1 - z, out=gh[t, :, :k])
+            c *= c
+            c *= g
+            g -= c
+            dc[t] = g  # in the place of d[t]
+            g *= r
+            gh[t, :, 2 * k :] = g
+            g *= inner
+            np.multiply(g, 1 - r, out=gh[t, :, k : 2 * k])
+            back += gh[t] @ up
             back *= keep[t][:, None]
+        before = np.concatenate([h[None], states[:-1]])
+        before *= keep[:, :, None]
         flat_gh = gh.reshape(-1, 3 * k)
-        grad["u"][:] = before.reshape(-1, k).T @ flat_gh
+        np.matmul(before.reshape(-1, k).T, flat_gh, out=grad["u"])
         gh[:, :, 2 * k :] = dc
         flat_gh.sum(0, out=grad["b"])
-        order = np.argsort(x.ravel(), kind="stable")
-        first = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
-        grad["wx"][x.ravel()[order[first]]] = np.add.reduceat(flat_gh[order], first)
+        word = x.ravel().astype(np.int16 if len(self.kind) < 1 << 15 else np.int32)  # short numbers are sorted by radix
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.diff(word[order], prepend=-1))
+        grad["wx"][word[order[first]]] = np.add.reduceat(flat_gh[order], first)
         return float(-lp.sum() / max(1, own.sum())), flat, states[-1]
 
 
@@ -316,7 +339,7 @@ def train_round(model: GRU, lookup: Lookup, texts: DataFrame, rate: float, tasks
     return found[0], found[1]
 
 
-def train_on_all(model: GRU, lookup: Lookup, training: DataFrame, n_words: int, epochs: int = 1, rate: float = 0.03) -> tuple[int, int]:
+def train_on_all(model: GRU, lookup: Lookup, training: DataFrame, n_words: int, epochs: int = 1, rate: float = 0.05) -> tuple[int, int]:
     """Every row of ``training`` (doc_id, text) is learnt from ``epochs`` times, in ROUNDS parts each. Returns the sums of train_round()."""
     tasks, out, rounds = max(1, n_words // TASK_WORDS), (0, 0), epochs * ROUNDS
     bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(ROUNDS))
@@ -342,7 +365,7 @@ def score(model: GRU, ids: np.ndarray, ptr: np.ndarray, lanes: int = LANES, wind
         h = states[-1]
         held.append((states[valid], y[valid], doc[valid]))
         size += len(held[-1][1])
-        if size >= 4096:  # where few lanes are left, windows are gathered
+        if size >= 8192:  # where few lanes are left, windows are gathered
             settle()
             size = 0
     if held:
@@ -394,12 +417,20 @@ class Lookup:
         own = min(vocabulary - 2, int((counts > 0).sum()))
         number[:own] = np.arange(2, 2 + own)
         self.number = number[order]
+        # Where the hashes of each run of leading bits begin: a few steps on instead of a binary search.
+        self.first = np.searchsorted(self.hashes, np.arange(1 << LEADING, dtype=U64) << U64(64 - LEADING))
+        self.padded = np.append(self.hashes, U64((1 << 64) - 1))
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(is frequent, count, model number) of each word."""
         if not len(self.hashes):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.full(len(h), RARE, np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at = self.first[(h >> U64(64 - LEADING)).astype(np.int64)]
+        todo = np.flatnonzero(self.padded[at] < h)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.padded[at[todo]] < h[todo]]
+        at = np.minimum(at, len(self.hashes) - 1)
         hit = self.hashes[at] == h
         return hit, np.where(hit, self.counts[at], 0), np.where(hit, self.number[at], RARE)
 
