@@ -53,7 +53,7 @@ def test_cut_pieces():
     assert P.cut_pieces(2049) == [(0, 1), (1, 2048)] and P.cut_pieces(4096) == [(0, 2048), (2048, 2048)]
 
 
-TRICKY = ["", " ", "\n", "a  b\n\n c", "it's  don't 'x\"", "é  ñ　x", "x\ty  ", "½ 12ab__c-- d", "😀 hi <|endoftext|>", "end ", "\n a", "a b \x1c c", "'s", "  \n  x", "１２ Ⅷ ª"]
+TRICKY = ["", " ", "\n", "a  b\n\n c", "it's  don't 'x\"", "é  ñ　x", "x\ty  ", "½ 12ab__c-- d", "😀 hi <|endoftext|>", "hi <|endoftext|> x", "<|endoftext|><|endoftext|>", "a <|endoftext", "end ", "\n a", "a b \x1c c", "'s", "  \n  x", "１２ Ⅷ ª"]
 
 
 @settings(max_examples=100, deadline=None)
@@ -62,12 +62,45 @@ def test_tokens_are_those_of_the_tokenizer(more):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.tokenizer_path())
-    plain.encode_special_tokens = True
     texts = TRICKY + more
     found = tokenizer()(texts)
     assert [x.tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_and_colliding_hashes():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P.tokenizer_path())
+    own = P.PieceCachedTokenizer(P.tokenizer_path())
+    assert own(["hi <|endoftext|> x"])[0].tolist() == [5303, 220, 50256, 2124]
+    texts = ["some words here", "other words", "it's"]
+    own(texts)
+    own.second[:3] += np.uint64(1)  # as if these pieces were others with the same first hash
+    assert [x.tolist() for x in own(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_query(spark, data):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P.tokenizer_path())
+    found = {}
+    for r in P.op2_best_fit_packing(spark, data).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    assert set(found) == {r["doc_id"] for r in rows}
+    bins = {}
+    for row in rows:
+        ids = [*plain.encode(row["text"] or "", add_special_tokens=False).ids, 0]
+        own = sorted(found[row["doc_id"]], key=lambda r: r["piece"])
+        assert [(r["start"], r["length"]) for r in own] == P.cut_pieces(len(ids))
+        for r in own:
+            assert zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
+
+
 def tokenizer(kept={}):  # noqa: B006
     return kept.setdefault(0, P.PieceCachedTokenizer(P.tokenizer_path(), limit=50))
 
@@ -76,8 +109,7 @@ def test_documents(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.tokenizer_path())
-    plain.encode_special_tokens = True
-    texts = [None, "", "short", "word " * 5000, "a b c " * 700] + ["same text"] * 7 + [f"text {k} " * k for k in range(60)]
+    texts = [None, "", "hi <|endoftext|> x", "word " * 5000, "a b c " * 700] + ["same text"] * 7 + [f"text {k} " * k for k in range(60)]
     docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, piece string, offset int").repartition(3)
     rows = P.pack_documents(docs).collect()
     ids = {k: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
@@ -95,7 +127,7 @@ def test_documents(spark):
 
 def test_repeated_and_empty_and_bad_pieces(spark):
     rows = spark.createDataFrame([(1, 0, 10, 5)] * 6, "doc_id long, piece int, length long, sequence_id int")
-    found = P.pack(rows, 30, bucket_rows=2).collect()
+    found = P.pack(rows, 30, buckets=3).collect()
     assert sorted((r["sequence_id"], r["offset"]) for r in found) == [(0, 0), (0, 10), (0, 20), (1, 0), (1, 10), (1, 20)]
     assert P.pack(rows.limit(0), 30).collect() == []
     with pytest.raises(ValueError):

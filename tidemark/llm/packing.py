@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import math
 import os
 import unicodedata
 import zlib
@@ -28,30 +29,29 @@ from tidemark.llm.store import stored
 from tidemark.llm.textops import word_hashes
 
 CAPACITY = 2048
-# The pre-tokenizing pattern of the vocabulary file.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The white space of the vocabulary file's pre-tokenizing pattern.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 
 
 class PieceCachedTokenizer:
     """Ids of a byte-level BPE file by ``tokenizers``, for whole batches of texts.
 
-    Merges never cross the pieces of the pre-tokenizing pattern. The pieces of a batch are found and hashed (64 bits) by
-    array operations on its code points; each distinct piece goes through the tokenizer once and is kept, up to
-    ``limit`` pieces. Texts with an apostrophe (contractions) or beyond the basic plane are split by the pattern itself.
+    Merges never cross the pieces of the pre-tokenizing pattern. The pieces of a batch are found and hashed (twice 64 bits)
+    by array operations on its code points; each distinct piece goes through the tokenizer once and is kept, up to
+    ``limit`` pieces. Texts with an apostrophe (contractions), beyond the basic plane, with the name of a special token or
+    with a piece whose two hashes disagree with the kept one go through the tokenizer whole.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_padding()
         self.encoder.no_truncation()
-        self.encoder.encode_special_tokens = True
+        self.added = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         (self.feed,) = self.encoder.encode("\n", add_special_tokens=False).ids
-        self.find, self.limit = regex.compile(PATTERN).findall, limit
+        self.limit = limit
         kinds = {"L": 1, "N": 2}
         self.kind = np.array([kinds.get(unicodedata.category(chr(i))[0], 3) for i in range(1 << 16)], np.uint8)
         self.kind[WHITE_SPACE] = 0
@@ -59,9 +59,9 @@ class PieceCachedTokenizer:
 
     def _clear(self) -> None:
         self.slot: dict[int, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.bounds, self.second = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint64)
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
+    def _learn(self, keys: list[int], second: np.ndarray, pieces: list[str]) -> None:
         """Encodes new pieces: many at a time, parted by line feeds (a token of its own); white space one by one."""
         solid = [k for k, p in enumerate(pieces) if not p.isspace()]
         loose = [k for k, p in enumerate(pieces) if p.isspace()]
@@ -80,6 +80,7 @@ class PieceCachedTokenizer:
             flat.append(ids)
             sizes.append(np.array([len(ids)]))
         self.slot.update(zip([keys[k] for k in solid + loose], range(len(self.slot), len(self.slot) + len(keys)), strict=True))
+        self.second = np.concatenate([self.second, second[solid + loose]])
         self.flat = np.concatenate([self.flat, *flat])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))])
 
@@ -88,7 +89,7 @@ class PieceCachedTokenizer:
         if len(self.slot) > self.limit:
             self._clear()
         sizes = np.array([len(t) for t in texts], np.int64)
-        plain = np.array(["'" not in t for t in texts], bool)
+        plain = np.array(["'" not in t and not any(x in t for x in self.added) for t in texts], bool)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points) and points.max() > 0xFFFF:
             plain[np.searchsorted(np.cumsum(sizes), np.flatnonzero(points > 0xFFFF), side="right")] = False
@@ -97,13 +98,14 @@ class PieceCachedTokenizer:
         edges = np.concatenate([[0], np.cumsum(sizes[plain])])
         points = points[np.repeat(plain, sizes)] if hard else points
         starts = self._starts(points, edges)
-        hashes = word_hashes(points, starts, np.append(starts[1:], len(points)).astype(np.int64))
+        stops = np.append(starts[1:], len(points)).astype(np.int64)
+        hashes, second = word_hashes(points, starts, stops), word_hashes(points * np.uint32(2654435769), starts, stops)
         unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         ends = np.append(starts[1:], len(easy))
         known = self.slot
         fresh = [k for k, h in enumerate(unique.tolist()) if h not in known]
         if fresh:
-            self._learn(unique[fresh].tolist(), [easy[starts[j] : ends[j]] for j in at[fresh].tolist()])
+            self._learn(unique[fresh].tolist(), second[at[fresh]], [easy[starts[j] : ends[j]] for j in at[fresh].tolist()])
         slots = np.fromiter((known[h] for h in unique.tolist()), np.int64, len(unique))[inverse]
         first, count = self.bounds[slots], self.bounds[slots + 1] - self.bounds[slots]
         total = np.concatenate([[0], np.cumsum(count)])
@@ -112,9 +114,11 @@ class PieceCachedTokenizer:
         out: list = [None] * len(texts)
         for i, a, b in zip(np.flatnonzero(plain).tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             out[i] = ids[a:b]
+        doubted = np.flatnonzero(self.second[slots] != second)  # another piece has the same first hash
+        if len(doubted):
+            hard += np.flatnonzero(plain)[np.unique(np.searchsorted(edges, starts[doubted], side="right") - 1)].tolist()
         for i in hard:
-            pieces = self.find(texts[i])
-            out[i] = np.fromiter(itertools.chain.from_iterable(x.ids for x in self.encoder.encode_batch_fast(pieces, add_special_tokens=False)), np.uint32)
+            out[i] = np.array(self.encoder.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
     def _starts(self, points: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -152,7 +156,11 @@ _tokenizers: dict[str, PieceCachedTokenizer] = {}
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document; a null text is empty: its one id 0."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document; a null text is empty: its one id 0.
+
+    A very long text is tokenized whole and gives as many pieces as it needs. Repeated rows give repeated pieces, an empty
+    table none; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = path or tokenizer_path()
@@ -300,20 +308,22 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, groups: int
     return plan, bins
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 20_000, **options) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None, **options) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset; ``pieces`` should be cheap to read again.
 
     Rows of equal doc_id and piece are different pieces. A length outside 1..capacity is an error. An empty table gives
-    an empty one; columns sequence_id and offset of the input are replaced.
+    an empty one; columns sequence_id and offset of the input are replaced. Ranks are taken in ``buckets`` (an eighth of
+    the root of the number of pieces), by column __salt if there is one (it is not returned), else by doc_id and piece.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
+    salt = [F.col("__salt")] if "__salt" in pieces.columns else [F.col("doc_id"), F.col("piece")]
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     if any(k is None or not 0 < k <= capacity for k in counts):
         raise ValueError("a piece has no length within the capacity")
     plan, _ = pack_histogram(counts, capacity, **options)
-    buckets = max(1, -(-sum(counts.values()) // bucket_rows))
-    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    buckets = buckets or 1 + math.isqrt(sum(counts.values())) // 8
+    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64(*salt), F.lit(buckets)))
     sizes = dealt.groupBy("length", "__b").agg(F.count("*").alias("__n"))
     before = sizes.select("length", "__b", (F.sum("__n").over(Window.partitionBy("length").orderBy("__b")) - F.col("__n")).alias("__before"))
     own = Window.partitionBy("length", "__b").orderBy("doc_id", "piece")
@@ -323,12 +333,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 20_000,
     rows = spark.createDataFrame(plan, "length long, r0 long, r1 long, bin0 long, place long")
     segments = F.broadcast(rows.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("r0", "bin0", "place"))).alias("__seg")))
     found = ranked.join(segments, "length").withColumn("__s", F.expr("element_at(filter(__seg, s -> s.r0 <= __r), -1)"))
-    return found.select(*pieces.columns, (F.col("__s.bin0") + F.col("__r") - F.col("__s.r0")).alias("sequence_id"), F.col("__s.place").alias("offset"))
+    return found.select(*[c for c in pieces.columns if c != "__salt"], (F.col("__s.bin0") + F.col("__r") - F.col("__s.r0")).alias("sequence_id"), F.col("__s.place").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Tokenizes, cuts and packs all documents (see :func:`token_pieces` and :func:`pack`)."""
-    return pack(stored(token_pieces(docs, capacity, path, with_ids), "pieces"), capacity)
+    pieces = token_pieces(docs, capacity, path, with_ids).withColumn("__salt", F.monotonically_increasing_id())  # written, so fixed
+    return pack(stored(pieces, "pieces"), capacity)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
