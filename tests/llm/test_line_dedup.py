@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from tidemark.llm.line_dedup import PerfectHash, dedup_lines
+from tidemark.llm.line_dedup import PerfectHash, Shard, dedup_lines
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER = {i: i + 32 for i in range(65, 91)}
@@ -71,3 +71,19 @@ def test_query(spark, data):
     want = {r["doc_id"]: (n, d, hashlib.sha256(t.encode()).hexdigest()) for r, (t, n, d) in zip(docs, brute([r["text"] for r in docs], 10), strict=True)}
     found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in op6_line_dedup(spark, data).collect()}
     assert found == want
+
+
+def test_colliding_first_hashes_stay_apart():
+    rng = np.random.default_rng(2)
+    h1, h2 = rng.integers(0, 1 << 63, (2, 1000), dtype=np.uint64)
+    h1[10:13] = h1[0]
+    shard = Shard(*Shard.arrays(h1, h2, np.arange(2, 1002)))
+    assert shard.count(h1, h2).tolist() == list(range(2, 1002))
+    assert shard.count(h1, h2 ^ np.uint64(1)).tolist() == [0] * 1000
+    assert Shard(*Shard.arrays(h1[:0], h2[:0], np.arange(0))).count(h1, h2).tolist() == [0] * 1000
+
+
+def test_copies_under_other_ids_without_a_broadcast(spark):
+    t = ["same\ntext " * 3] * 60 + ["other\ntext", None]
+    docs = spark.createDataFrame([(k, x, {"a": 1}) for k, x in enumerate(t)], "doc_id long, text string, more map<string,int>").repartition(4)
+    assert rows(dedup_lines(docs, min_docs=10, broadcast_bytes=0)) == brute(t, 10)

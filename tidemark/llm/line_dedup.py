@@ -5,8 +5,9 @@ two or more documents go to shards; each shard is built by one bounded task into
 (levels of bits), 64-bit fingerprints and counts. A key in one document cannot reach a threshold of two or more, and the
 fingerprint refuses it. A second pass over the documents probes the arrays; the texts are not shuffled.
 
-The arrays are broadcast while their measured size is within ``broadcast_bytes``. Beyond that, line hashes (not texts)
-meet the shards in salted co-groups of bounded size.
+The arrays are broadcast while their measured size is within ``broadcast_bytes``. Beyond that, line hashes meet the
+shards in salted co-groups of bounded size, and the lines that go are joined with their texts by a key of the whole row.
+Keys whose first 64 bits collide are kept beside the perfect hash, by 128 bits.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from tidemark.llm.store import stored
 from tidemark.llm.textops import U64, mix
 
 BLANK = b" \t\n\x0b\x0c\r"
+ARRAYS = ("mph", "prints", "counts", "extra")
 GAMMA = 2.0
 LEVELS = 24
 
@@ -81,16 +83,38 @@ class PerfectHash:
             return cls([np.unpackbits(z[f"l{i}"])[:n] for i, n in enumerate(z["sizes"])], z["rest"])
 
 
+EXTRA = np.dtype([("h1", U64), ("h2", U64), ("n", np.int32)])
+
+
 class Shard:
-    def __init__(self, mph: bytes, prints: bytes, counts: bytes):
+    def __init__(self, mph: bytes, prints: bytes, counts: bytes, extra: bytes):
         self.mph, self.prints, self.counts = PerfectHash.load(mph), np.frombuffer(prints, U64), np.frombuffer(counts, np.int32)
+        self.extra = np.frombuffer(extra, EXTRA)
+
+    @staticmethod
+    def arrays(h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+        """What a shard of these distinct (h1, h2) keys is made of; all but the first key of one h1 go beside the hash."""
+        order = np.lexsort((h2, h1))
+        h1, h2, n = h1[order], h2[order], np.minimum(n[order], np.iinfo(np.int32).max).astype(np.int32)
+        first = np.concatenate([[True], h1[1:] != h1[:-1]])[: len(h1)]
+        extra = np.zeros(int((~first).sum()), EXTRA)
+        extra["h1"], extra["h2"], extra["n"] = h1[~first], h2[~first], n[~first]
+        h1, h2, n = h1[first], h2[first], n[first]
+        mph = PerfectHash.build(h1)
+        slot = mph(h1)
+        prints, counts = np.zeros(len(h1), U64), np.zeros(len(h1), np.int32)
+        prints[slot], counts[slot] = h2, n
+        return mph.dump(), prints.tobytes(), counts.tobytes(), extra.tobytes()
 
     def count(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Documents of each key; 0 for a key that isn't here."""
         if not len(self.prints):
             return np.zeros(len(h1), np.int64)
         slot = np.minimum(self.mph(h1), len(self.prints) - 1)
-        return np.where(self.prints[slot] == h2, self.counts[slot], 0)
+        out = np.where(self.prints[slot] == h2, self.counts[slot], 0)
+        for a, b, n in self.extra.tolist():  # almost always none
+            out[(h1 == a) & (h2 == b)] = n
+        return out
 
 
 def shard_of(h1: np.ndarray, n: int) -> np.ndarray:
@@ -134,21 +158,12 @@ def build_index(counts: DataFrame, least: int = 2, shard_keys: int = 200_000) ->
     shards = max(1, -(-kept.count() // shard_keys))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        h1 = pdf["h1"].to_numpy(np.int64).view(U64)
-        order = np.argsort(h1, kind="stable")
-        first = np.concatenate([[True], np.diff(h1[order]) != 0])
-        if not first.all():
-            raise ValueError("two lines share a 64-bit hash; choose another seed")
-        mph = PerfectHash.build(h1)
-        slot = mph(h1)
-        prints, n = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int32)
-        prints[slot] = pdf["h2"].to_numpy(np.int64)
-        n[slot] = np.minimum(pdf["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
-        return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), "mph": mph.dump(), "prints": prints.tobytes(), "counts": n.tobytes()}])
+        arrays = Shard.arrays(pdf["h1"].to_numpy(np.int64).view(U64), pdf["h2"].to_numpy(np.int64).view(U64), pdf["n"].to_numpy(np.int64))
+        return pd.DataFrame([dict(zip(("shard", *ARRAYS), (int(pdf["shard"].iloc[0]), *arrays), strict=True))])
 
     keyed = kept.withColumn("shard", F.expr(f"pmod(shiftrightunsigned(h1, 32), {shards})"))
-    index = stored(keyed.groupBy("shard").applyInPandas(build, "shard long, mph binary, prints binary, counts binary"), "index")
-    size = index.agg(F.sum(F.length("mph") + F.length("prints") + F.length("counts"))).first()[0] or 0
+    index = stored(keyed.groupBy("shard").applyInPandas(build, "shard long, " + ", ".join(f"{a} binary" for a in ARRAYS)), "index")
+    size = index.agg(F.sum(sum((F.length(a) for a in ARRAYS), F.lit(0).cast("long")))).first()[0] or 0
     return index, shards, size
 
 
@@ -182,7 +197,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
         index, shards, size = build_index(line_counts(docs, text_col, min_chars))
     if size > broadcast_bytes:
         return _by_shards(docs, index, shards, text_col, min_docs, min_chars, schema)
-    arrays = spark.sparkContext.broadcast({r["shard"]: (bytes(r["mph"]), bytes(r["prints"]), bytes(r["counts"])) for r in index.toLocalIterator()} if index is not None else None)
+    arrays = spark.sparkContext.broadcast({r["shard"]: tuple(bytes(r[a]) for a in ARRAYS) for r in index.toLocalIterator()} if index is not None else None)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = {k: Shard(*v) for k, v in (arrays.value or {}).items()}
@@ -209,32 +224,38 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
 
 
 def _by_shards(docs: DataFrame, index: DataFrame, shards: int, text_col: str, min_docs: int, min_chars: int, schema: StructType) -> DataFrame:
-    """The way without a broadcast: distinct line hashes of each text meet their shard in salted co-groups."""
+    """The way without a broadcast: distinct line hashes of each row meet their shard in salted co-groups.
+
+    Rows are told apart by 128 bits of all their columns, so copies of a text under other ids are no hot key.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
-                keys = [(i, x) for i, t in zip(batch.column(0)[k : k + 1000].to_pylist(), batch.column(1)[k : k + 1000].to_pylist(), strict=True) for x in {y for y in split_lines(t, min_chars)[1] if y}]
-                h = np.frombuffer(b"".join(x for _, x in keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"content": pa.array([i for i, _ in keys], pa.string()), "shard": shard_of(h[:, 0].view(U64), shards), "h1": h[:, 0], "h2": h[:, 1]})
-
-    keyed = docs.withColumn("__content", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    lines = stored(keyed.select("__content", text_col).mapInArrow(emit, "content string, shard long, h1 long, h2 long"), "probes")
+                part = batch.slice(k, 1000)
+                found = [{y for y in split_lines(t, min_chars)[1] if y} for t in part.column(2).to_pylist()]
+                n = np.array([len(x) for x in found], np.int64)
+                h = np.frombuffer(b"".join(y for x in found for y in x), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"c1": np.repeat(part.column(0).to_numpy(), n), "c2": np.repeat(part.column(1).to_numpy(), n), "shard": shard_of(h[:, 0].view(U64), shards), "h1": h[:, 0], "h2": h[:, 1]})
+
+    own = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    keyed = docs.withColumn("__c1", F.xxhash64(*own)).withColumn("__c2", F.xxhash64(F.lit(1), *own))
+    lines = stored(keyed.select("__c1", "__c2", text_col).mapInArrow(emit, "c1 long, c2 long, shard long, h1 long, h2 long"), "probes")
     # A line that many texts share puts their probes into one shard: each shard gets as many salts as its probes need.
     salts = lines.groupBy("shard").agg(F.ceil(F.count("*") / 500_000).cast("long").alias("salts"))  # a row per shard
-    lines = lines.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("salts"))).drop("salts")
+    lines = lines.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.col("c1"), F.col("salts"))).drop("salts")
     spread = index.join(F.broadcast(salts), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
 
     def probe(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(probes):
-            return pd.DataFrame({"content": [], "h1": [], "h2": []}).astype({"content": str, "h1": "int64", "h2": "int64"})
-        own = Shard(bytes(shard["mph"][0]), bytes(shard["prints"][0]), bytes(shard["counts"][0]))
+            return probes[["c1", "c2", "h1", "h2"]].iloc[:0]
+        own = Shard(*(bytes(shard[a][0]) for a in ARRAYS))
         n = own.count(probes["h1"].to_numpy(np.int64).view(U64), probes["h2"].to_numpy(np.int64).view(U64))
-        return probes.loc[n >= min_docs, ["content", "h1", "h2"]]
+        return probes.loc[n >= min_docs, ["c1", "c2", "h1", "h2"]]
 
-    gone = lines.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, "content string, h1 long, h2 long")
-    gone = gone.groupBy("content").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
-    joined = keyed.join(gone.withColumnRenamed("content", "__content"), "__content", "left").select(*docs.columns, "__gone")
+    gone = lines.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, "c1 long, c2 long, h1 long, h2 long")
+    gone = gone.groupBy(F.col("c1").alias("__c1"), F.col("c2").alias("__c2")).agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))  # lines of one row
+    joined = keyed.join(gone, ["__c1", "__c2"], "left").select(*docs.columns, "__gone")
     at = docs.columns.index(text_col)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
