@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one under /tmp/checkpoints only where none is set (tests, a laptop)."""
+    """The session's checkpoint folder. Where none is set, one under /tmp/checkpoints for a local session; on a cluster an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or SparkConf().get("spark.checkpoint.dir")
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return str(current.get())
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         found = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(found)
@@ -41,12 +43,3 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

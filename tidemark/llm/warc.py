@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import cut, new_path
+from tidemark.llm.skew import spread_join
+from tidemark.llm.store import cut, new_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,7 +115,7 @@ class _Window:
     """Bytes of a file from a position on, read in steps."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data = file, at, b""
+        self.file, self.at, self.data = file, at, bytearray()
         file.seek(at)
 
     def more(self) -> bool:
@@ -123,7 +124,8 @@ class _Window:
         return bool(got)
 
     def drop(self, to: int) -> None:
-        self.data, self.at = self.data[to - self.at :], to
+        del self.data[: to - self.at]
+        self.at = to
 
 
 def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -165,10 +167,15 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             at += 1
 
 
-def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
-    """All records of (path, bytes) archives, by ranges of ``split_bytes``. An empty table gives no record."""
+def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = 8 << 20, task_bytes: int = 256 << 20) -> DataFrame:
+    """All records of (path, bytes) archives, by ranges of ``split_bytes``. An empty table gives no record.
+
+    A task reads ranges of about ``task_bytes`` one after the other, fewer where that leaves cores idle. A record is read
+    whole however long its payload is (in memory linear in it), by the task that owns its first byte.
+    """
     ranges = archives.filter("bytes > 0").select("path", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start"))
-    n = ranges.count()
+    n, held = ranges.count(), archives.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(1, min(n, max(3 * spark.sparkContext.defaultParallelism, held // task_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in RECORD.split(", ")])
@@ -188,19 +195,20 @@ def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = 8 <<
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return ranges.repartition(max(1, n), "path", "start").mapInArrow(run, RECORD)
+    return ranges.repartition(tasks).mapInArrow(run, RECORD)
 
 
 def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Pages (page_id, url, html) as records: the smallest page_id of equal payloads is the response, others revisit it.
 
     Payloads under ``least_bytes`` are all responses. A null html is an empty payload; of rows with the same page_id and
-    payload, each is a response.
+    payload, each is a response. Payloads of any length are kept whole; other columns are ignored, whatever their names.
+    A payload that very many pages share is no hot key: the join of pages with the first page_ids is spread over salts.
     """
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     rows = pages.select("page_id", "url", "html").withColumn("__sha", digest).withColumn("__n", F.coalesce(F.octet_length("html"), F.lit(0)))
-    first = rows.filter(F.col("__n") >= least_bytes).groupBy("__sha", "__n").agg(F.min("page_id").alias("__first"))
-    joined = rows.join(first, ["__sha", "__n"], "left")
+    first = rows.filter(F.col("__n") >= least_bytes).groupBy("__sha", "__n").agg(F.min("page_id").alias("__first"), F.count("*").alias("n"))
+    joined = spread_join(rows, stored(first, "payloads"), ["__sha", "__n"], ["page_id", "url"])
     name = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
     return joined.select(F.coalesce(name("page_id"), F.lit("urn:page:")).alias("record_id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"), F.lit(None).cast("string").alias("digest"), F.when(F.col("page_id") != F.col("__first"), name("__first")).alias("refers_to"))
 
