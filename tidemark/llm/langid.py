@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.textops import LOWER, SPACE, U64, buffers, mix
+from tidemark.llm.store import stored
+from tidemark.llm.textops import LOWER, buffers
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -35,12 +36,18 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     low = LETTERS[raw].astype(np.uint32)
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32)  # one blank between words
+    keep[offsets[:-1][offsets[:-1] < len(low)]] = True
     ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
     low = low[keep]
     grams = np.empty((3, len(low)), np.uint32)
     grams[0] = low
-    grams[1] = np.append(low[1:], 32) | (low << np.uint32(8))
-    grams[2] = np.append(grams[1][1:], np.uint32(32 << 8 | 32)) | (low << np.uint32(16))
+    last = (ends[1:] - 1)[np.diff(ends) > 0]  # a text's n-grams end with blanks, whatever text follows in the batch
+    after = np.append(low[1:], 32).astype(np.uint32)
+    after[last] = 32
+    second = np.append(after[1:], 32).astype(np.uint32)
+    second[last] = 32
+    grams[1] = after | (low << np.uint32(8))
+    grams[2] = second | (grams[1] << np.uint32(8))
     third = size // 4  # one quarter for 1- and 2-grams each, a half for 3-grams
     for order, (base, width) in enumerate(((0, third), (third, third), (2 * third, 2 * third))):
         slot = ((grams[order] * np.uint32(2654435769)) >> np.uint32(32 - int(np.log2(width)))).astype(np.int64)
@@ -102,19 +109,23 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], bits: int, rounds: int =
     return Model(langs, code, w, b, weight / weight.sum() * code.shape[1], bits, 1.0)
 
 
-def _sample(docs: DataFrame, per_lang: int, max_langs: int) -> DataFrame:
-    """About ``per_lang`` rows of each of the ``max_langs`` most frequent languages, by a hash of the id."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    rate = counts.select("lang", (F.lit(float(per_lang)) / F.col("count")).alias("__rate"))
+def _sample(docs: DataFrame, per_lang: int, sample_rows: int) -> tuple[DataFrame, int]:
+    """About ``per_lang`` rows of every language by a hash of the row, fewer (32 at least) where that would pass ``sample_rows``; and twice the rows to expect."""
+    counts = stored(docs.groupBy("lang").count(), "langs")
+    n = counts.count()
+    each = max(32, min(per_lang, sample_rows // max(1, n)))
+    rate = counts.select("lang", (F.lit(float(each)) / F.col("count")).alias("__rate"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(F.broadcast(rate), "lang").filter(drawn < F.col("__rate"))
+    return docs.join(F.broadcast(rate) if n < 100_000 else rate, "lang").filter(drawn < F.col("__rate")), 2 * each * n
 
 
-def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 200, bits: int = 12, held_out_mod: int = 5) -> Model | None:
+def train(docs: DataFrame, per_lang: int = 600, sample_rows: int = 12_000, bits: int = 12, held_out_mod: int = 5) -> Model | None:
     """Learns from text and lang of documents outside the held-out fold; None without any.
 
-    The classifiers see at most about ``per_lang`` documents a language (whole texts), so what reaches the driver is
-    bounded by per_lang * max_langs * 2^bits half-precision numbers, whatever the corpus.
+    Every language is learnt. The classifiers see about ``per_lang`` documents of each (whole texts), and from
+    ``sample_rows`` / ``per_lang`` languages on about ``sample_rows`` in all, but 32 of each: that many rows of 2^bits
+    half-precision numbers reach the driver (100 MB at 12,000 rows), whatever the corpus. The sample is by a hash of the
+    rows; a row that repeats without end is cut off at twice the rows to expect.
     """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), held_out_mod))
 
@@ -125,8 +136,9 @@ def train(docs: DataFrame, per_lang: int = 600, max_langs: int = 200, bits: int
                 x = features(*buffers(part.column(1)), bits).astype(np.float16)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).cast(pa.string()), "lang": part.column(2), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = _sample(known, per_lang, max_langs).select("doc_id", "text", "lang").mapInArrow(run, "doc_id string, lang string, x binary")
-    rows = rows.limit(2 * per_lang * max_langs).collect()  # the limit holds if one row repeats without end
+    sample, most = _sample(known, per_lang, sample_rows)
+    rows = sample.select("doc_id", "text", "lang").mapInArrow(run, "doc_id string, lang string, x binary")
+    rows = rows.limit(max(1, most)).collect()  # the limit holds if one row repeats without end
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["doc_id"] or ""))
