@@ -51,21 +51,32 @@ def corpus(n=600):
     return rows, labels
 
 
-def brute_rules(transactions, support, confidence):
-    """All token sets by counting, pruned as the operator says."""
-    n, count, bad = len(transactions), {}, {}
-    for tokens, b in transactions:
-        for k in range(1, len(tokens) + 1):
-            for c in combinations(sorted(tokens), k):
-                count[c] = count.get(c, 0) + 1
-                bad[c] = bad.get(c, 0) + b
-    rules = {}
-    for c in sorted(count, key=lambda c: (len(c), c)):
-        if bad[c] < support * n or bad[c] / count[c] < confidence:
-            continue
-        if all(bad[c] / count[c] > rules[p] + 1e-9 for k in range(1, len(c)) for p in combinations(c, k) if p in rules):
-            rules[c] = bad[c] / count[c]
-    return rules
+def brute_rules(transactions, support, lift, z=3.0):
+    """All sets of items (tokens of the same rows are one) by counting, pruned as the operator says."""
+    n, base = len(transactions), sum(b for _, b in transactions) / len(transactions)
+    rows = {}
+    for k, (tokens, _) in enumerate(transactions):
+        for t in tokens:
+            rows.setdefault(t, set()).add(k)
+    items = {}
+    for t, own in rows.items():
+        items.setdefault(frozenset(own), []).append(t)
+    names = {min(ts): (tuple(sorted(ts)), own) for own, ts in items.items() if len(own) >= max(support * n, 20)}
+    rules, out = {}, {}
+    for k in range(1, len(names) + 1):
+        for c in combinations(sorted(names), k):
+            own = frozenset.intersection(*(names[t][1] for t in c))
+            hit = sum(transactions[r][1] for r in own)
+            if hit < max(support * n, 20):
+                continue
+            share, m = hit / len(own), len(own)
+            low = (share + z * z / 2 / m - z * (share * (1 - share) / m + z * z / 4 / m / m) ** 0.5) / (1 + z * z / m)
+            if share < lift * base or low <= base:
+                continue
+            if all(share > rules[p] + 1e-9 for j in range(1, k) for p in combinations(c, j) if p in rules):
+                rules[c] = share
+                out[tuple(sorted(t for x in c for t in names[x][0]))] = share
+    return out
 
 
 def test_mined_rules_against_counting(spark):
@@ -75,8 +86,8 @@ def test_mined_rules_against_counting(spark):
     tokens = {r["page_id"]: r["tokens"] for r in split.collect()}
     assert set(tokens[0]) >= {"h:test", "p:#", "q:ref"}
     frame = spark.createDataFrame([(tokens[k], q == 0) for k, q, _ in labels], "tokens array<string>, bad boolean")
-    rules = U.mine(frame, 0.05, 0.6)
-    want = brute_rules([(tokens[k], q == 0) for k, q, _ in labels], 0.05, 0.6)
+    rules = U.mine(frame, 0.05, 1.2)
+    want = brute_rules([(tokens[k], q == 0) for k, q, _ in labels], 0.05, 1.2)
     assert {r[0]: round(r[1], 9) for r in rules} == {k: round(v, 9) for k, v in want.items()}
     assert ("h:aa", "p:shop") in want
 
@@ -84,11 +95,34 @@ def test_mined_rules_against_counting(spark):
 def test_verdicts_follow_the_rules(spark):
     rows, labels = corpus()
     pages, marks = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels * 2, "doc_id long, quality int, toxic int")
-    found = {r["page_id"]: r for r in U.judge_urls(pages, marks, 0.05, 0.6).collect()}
+    found = {r["page_id"]: r for r in U.judge_urls(pages, marks, 0.05, 3.0).collect()}
     for k, url in rows:
         assert found[k]["verdict"] == ("block" if "aa.test" in url and "/shop/" in url else "allow")
 
 
 def test_no_bad_label_gives_no_rule(spark):
     frame = spark.createDataFrame([(["h:a"], False)] * 50, "tokens array<string>, bad boolean")
-    assert U.mine(frame, 0.1, 0.5) == [] and U.mine(frame.limit(0), 0.1, 0.5) == []
+    assert U.mine(frame, 0.1, 1.5) == [] and U.mine(frame.limit(0), 0.1, 1.5) == []
+
+
+def test_long_urls_keep_all_tokens(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(400):
+        bad = k % 4 == 0
+        weak = [f"q:k{i}" for i in range(40) if rng.random() < 0.02]
+        rows.append((["h:x", *[f"p:{i}" for i in range(60)], *weak, *(["q:u", "q:v"] if bad else [str(rng.choice(["q:u", "q:v"]))])], bad))
+    rules = U.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.05, 1.5)
+    assert [r[0] for r in rules] == [("q:u", "q:v")] or ("q:u", "q:v") in {r[0] for r in rules}
+
+
+def test_query(spark, data):
+    rows = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    found = U.op1_url_filter(spark, data)
+    assert found.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+    got = found.collect()
+    assert sorted(r["page_id"] for r in got) == sorted(rows)
+    for r in got:
+        host, path = plain(rows[r["page_id"]])
+        rule, verdict = by_list(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or ("block" if r["mined"] else "allow"))

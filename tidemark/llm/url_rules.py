@@ -1,13 +1,15 @@
 """URL filters by association rules.
 
 Each labelled URL is a transaction of tokens (host labels, host, path segments, query keys; numbers count as one token)
-and its label. Spark's FP-growth mines frequent combinations; those that imply the label ``bad`` with enough confidence,
-more than every shorter combination they contain, are the rules. Matching goes through an inverted index from token to
+and its label; tokens that occur in exactly the same URLs are one item. Spark's FP-growth mines frequent combinations;
+those that imply the label ``bad`` surely more often than it occurs in all (lift, and a lower bound of the confidence),
+and more than every shorter combination they contain, are the rules. Matching goes through an inverted index from token to
 rule: a URL matches a rule when it holds all its tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -63,43 +65,55 @@ def tokens():
     return F.filter(every, lambda x: F.length(x) > 2)
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_count: int = 20, max_tokens: int = 12) -> list[tuple[tuple[str, ...], float, float]]:
-    """Rules (tokens, confidence, support) for the label bad from (tokens, bad) rows; all labelled rows count.
+def least_share(share: float, n: float, z: float) -> float:
+    """Wilson's lower bound of a share seen in ``n`` rows."""
+    return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
-    A transaction keeps its ``max_tokens`` tokens that tell most about the label (by |share of bad - overall|, weighted by
-    frequency), which bounds what FP-growth enumerates. A rule also needs ``min_count`` rows. No labelled row, or none that is bad, gives no rule.
+
+def mine(labelled: DataFrame, min_support: float, min_lift: float, min_count: int = 20, z: float = 3.0, most_items: int = 20) -> list[tuple[tuple[str, ...], float, float]]:
+    """Rules (tokens, confidence, support) for the label bad from (tokens, bad) rows; all labelled rows and all their frequent tokens count.
+
+    A rule's confidence is at least ``min_lift`` times the share of bad rows and its lower bound (``z``) above that share;
+    it needs ``min_count`` rows. FP-growth enumerates the sets of a row's frequent items, so the least support doubles
+    while any row holds more than ``most_items`` of them. No labelled row, or none that is bad, gives no rule.
     """
     labelled = stored(labelled.withColumn("id", F.monotonically_increasing_id()), "labelled")
     total, bad = labelled.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
     if not total or not bad:
         return []
-    min_support = max(min_support, min_count / total)
-    if min_support > 1:
+    base = bad / total
+    each = labelled.select("id", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
+    rows = lambda k: F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)"))
+    alike = each.groupBy("token").agg(F.count("*").alias("n"), rows(0).alias("a"), rows(1).alias("b"))
+    least = max(min_support * total, min_count)
+    items = stored(alike.filter(F.col("n") >= least).groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("tokens")), "items")
+    held = stored(each.join(items.select(F.col("item").alias("token"), "n"), "token"), "held")
+    while (held.filter(F.col("n") >= least).groupBy("id").count().agg(F.max("count")).first()[0] or 0) > most_items:
+        least *= 2
+    if least > total or min_lift * base > 1:
         return []
-    each = labelled.select("id", "bad", F.explode("tokens").alias("token"))
-    told = each.groupBy("token").agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("double")).alias("share")).filter(F.col("n") >= min_support * total)
-    told = told.select("token", (F.abs(F.col("share") - bad / total) * F.sqrt("n")).alias("told"))
-    kept = each.join(told, "token").groupBy("id", "bad").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("told", "token")))), 1, max_tokens).alias("best"))
-    items = kept.select(F.concat(F.col("best.token"), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    baskets = held.filter(F.col("n") >= least).groupBy("id", "bad").agg(F.collect_list("token").alias("own"))
     # Rows without a frequent token still count in supports.
-    frequent = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    empty = F.array().cast("array<string>")
+    whole = labelled.select("id", "bad").join(baskets.select("id", "own"), "id", "left")
+    sets = whole.select(F.concat(F.coalesce("own", empty), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(empty)).alias("items"))
+    frequent = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_lift * base).fit(sets)
     rules = frequent.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select("antecedent", "confidence", "support")
-    found = sorted(((tuple(sorted(r[0])), r[1], r[2]) for r in rules.toLocalIterator()), key=lambda r: (len(r[0]), r[0]))
+    surer = [(tuple(sorted(r[0])), r[1], r[2]) for r in rules.toLocalIterator() if least_share(r[1], r[2] * total / r[1], z) > base]
     confidence: dict[tuple[str, ...], float] = {}
-    out = []
-    for rule in found:
-        parts = [confidence[p] for k in range(1, len(rule[0])) for p in combinations(rule[0], k) if p in confidence]
-        if not parts or rule[1] > max(parts) + 1e-9:  # a longer rule has to be surer than all it contains
-            confidence[rule[0]] = rule[1]
-            out.append(rule)
-    return out
+    for need, c, _ in sorted(surer, key=lambda r: (len(r[0]), r[0])):
+        parts = [confidence[p] for k in range(1, len(need)) for p in combinations(need, k) if p in confidence]
+        if not parts or c > max(parts) + 1e-9:  # a longer rule has to be surer than all it contains
+            confidence[need] = c
+    named = {r["item"]: r["tokens"] for r in items.filter(F.col("item").isin(sorted({t for need in confidence for t in need}))).collect()} if confidence else {}
+    return [(tuple(sorted(t for item in need for t in named[item])), c, s) for need, c, s in sorted(surer, key=lambda r: (len(r[0]), r[0])) if confidence.get(need) == c]
 
 
 def matched(rows: DataFrame, rules: list[tuple[tuple[str, ...], float, float]]) -> DataFrame:
     """``rows`` (with tokens) and ``mined``: the tokens of the surest rule that it matches, joined by blanks; else null.
 
     The index from token to rule is bounded by the mining: every rule has the minimum support among transactions of a
-    bounded number of tokens.
+    bounded number of items.
     """
     index: dict[str, list[int]] = defaultdict(list)
     for k, (need, _, _) in enumerate(rules):
@@ -126,20 +140,21 @@ def matched(rows: DataFrame, rules: list[tuple[tuple[str, ...], float, float]])
     return rows.select(*[c for c in rows.columns if c != "tokens"], "tokens").mapInArrow(run, schema)
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, lists=LISTS) -> DataFrame:
-    """(page_id, url, host, path, rule, mined, verdict) of every row of ``pages`` (page_id, url).
+def judge_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_lift: float = 1.5, lists=LISTS) -> DataFrame:
+    """(page_id, url, host, path, rule, verdict, mined) of every row of ``pages`` (page_id, url).
 
     ``labels`` (doc_id, quality, toxic) label the page of the same id: bad if quality is 0 or toxic is 1; a null counts
     as good, and of several labels of one id any bad one holds. The lists' verdict holds where a rule fits; else block
-    where a mined rule matches, else allow. Null urls have no token and are allowed. Repeated rows come back as often.
+    where a mined rule matches, else allow. Null urls have no token and are allowed. Urls of any length
+    are read whole. Repeated rows come back as often; other columns are ignored.
     """
     rows = split_urls(pages.select("page_id", "url")).withColumn("tokens", tokens())
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     known = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
-    rules = mine(rows.join(known, "page_id").select("tokens", "bad"), min_support, min_confidence)
+    rules = mine(rows.join(known, "page_id").select("tokens", "bad"), min_support, min_lift)
     rule, verdict = listed(lists)
     found = matched(rows, rules)
-    return found.select("page_id", "url", "host", "path", rule.alias("rule"), "mined", F.coalesce(verdict, F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"))
+    return found.select("page_id", "url", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined")
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
