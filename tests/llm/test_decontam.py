@@ -74,6 +74,51 @@ def test_blocks_of_items_give_the_same(spark):
         assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in D.contaminated(docs, frame, block_bytes=size).collect()) == [(k, k, 0) for k, _ in bench]
 
 
+def edited(text, rate, rng, spread=False):
+    """``rate`` of the characters changed: at random places, or one in every few characters."""
+    out, n = list(text), round(rate * len(text))
+    for k in range(n):
+        at = int((k + 0.5) * len(out) / n) if spread else int(rng.integers(0, len(out)))
+        kind = rng.integers(0, 3)
+        if kind < 2:
+            out[at : at + 1] = ["q"] if kind else []
+        else:
+            out.insert(at, "z")
+    return "".join(out)
+
+
+def test_recall_of_edited_passages():
+    bench, vocabulary, rng = items(120, 5)
+    block = D.Items(bench, 0.2, 0.99)
+    for rate, spread, least in ((0.05, False, 0.99), (0.1, False, 0.98), (0.1, True, 0.97), (0.15, False, 0.95), (0.2, False, 0.9), (0.2, True, 0.75)):
+        texts = [" ".join([*rng.choice(vocabulary, int(rng.integers(2, 30))), edited(t, rate, rng, spread), *rng.choice(vocabulary, 12)]) for _, t in bench]
+        want = {(k, bench[k][0]) for k, t in enumerate(texts) if D.edit_distance_within(D.normal(bench[k][1]), D.normal(t), int(0.2 * len(D.normal(bench[k][1]))))[1] >= 0}
+        data = "".join(texts).encode()
+        got = {(r[0], r[1]) for r in D.scan(block, list(range(len(texts))), np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))}
+        assert len(got & want) >= least * len(want), (rate, spread, len(got & want), len(want))
+
+
+def test_texts_are_normal():
+    raw = ["  A\tb\n", "", "É x\0y ", " \n"]
+    data = [t.encode() for t in raw]
+    texts = D.Texts(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    assert texts.data.tobytes() == D.normal(raw[0]) + b"\0" + D.normal(raw[2]) + b"\0"
+    assert texts.ptr.tolist() == [0, 2, 2, 4, 4]
+
+
+def test_clashing_columns_and_nulls_when_dropping(spark):
+    docs = spark.createDataFrame([(None, "say hello brave new world now", 1, {"a": 1}), (2, None, 2, None), (2, "fine", 3, None)], "doc_id long, text string, item_id int, m map<string,int>")
+    kept = D.drop_contaminated(docs, spark.createDataFrame([(7, "hello brave new World")], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [2, 3]
+
+
+def test_very_long_text(spark):
+    bench, vocabulary, rng = items(5)
+    text = " ".join([*rng.choice(vocabulary, 200_000), bench[3][1], *rng.choice(vocabulary, 200_000)])
+    found = D.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert [(r["item_id"], r["start_word"], r["edits"]) for r in found] == [(3, 200_000, 0)]
+
+
 def test_short_items_empty_tables_and_repeats(spark):
     docs = spark.createDataFrame([(1, "say hello world now"), (1, "say hello world now"), (2, "hello")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "Hello  World"), (8, "now")], "item_id long, text string")
