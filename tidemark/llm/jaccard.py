@@ -183,10 +183,15 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     smallest doc_id of those with the same sequence of words (A-Z as a-z, any white space); n_copies: rows with that
     sequence; n_links: other sequences linked to it directly. A text of 1 to n-1 words is one n-gram. A null text or one
     without words has no n-grams: it is linked to nothing and its own class. Rows that repeat a doc_id come back as often.
-    An empty table gives an empty one. A null doc_id is an error.
+    An empty table gives an empty one. A row whose doc_id is null is compared with nothing and has null class_id and
+    text_id. Texts of any length are read whole. All pairs of a candidate set are compared, as links are counted: a set of
+    m texts is cut into m / ``chunk_texts`` chunks and copied as often, each pair of chunks being a task's work.
     """
     bands = bands_for(similarity, recall, rows)
-    signed = stored(sign(docs.select(F.col("doc_id").cast("long"), "text"), n, bands, rows), "signed")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    nameless = docs.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    docs = docs.filter("doc_id is not null")
+    signed = stored(sign(docs, n, bands, rows), "signed")
     some = signed.filter("n_words > 0")
     classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("buckets").alias("buckets"), F.first("n_words").alias("n_words"))
     classes = stored(classes, "classes")
@@ -197,8 +202,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     sized = candidates.withColumnRenamed("node", "rep").join(classes.select("rep", "n_words"), "rep")
     weight = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / chunk_texts), F.ceil(F.sum("n_words") / chunk_grams)).cast("int").alias("chunks"))
     sized = stored(sized.join(weight, "component").select("rep", "component", "chunks"), "candidates")
-    first = docs.select(F.col("doc_id").cast("long"), "text").filter("text is not null")
-    texts = first.join(sized.withColumnRenamed("rep", "doc_id"), "doc_id")
+    texts = docs.filter("text is not null").join(sized.withColumnRenamed("rep", "doc_id"), "doc_id")
     grams = shingle_sets(texts, n, ["doc_id", "component", "chunks"])
     grams = grams.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = grams.select(F.col("component").alias("comp"), F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "side", F.col("doc_id").alias("rep"), "grams")
@@ -210,14 +214,20 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILAR
     classed = classed.select("f1", "f2", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("text_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     known = some.select("doc_id", "f1", "f2").join(classed, ["f1", "f2"]).select("doc_id", "class_id", "text_id", "n_copies", "n_links")
     empty = signed.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return known.unionByName(empty)
+    return known.unionByName(empty).unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class of near duplicates: that with the smallest doc_id, all its columns."""
+    """``docs`` with one document of each class of near duplicates: that with the smallest doc_id, all its columns.
+
+    Here texts without words (null, empty, white space) are copies of each other, so one stays. Rows without a doc_id stay.
+    """
     found = near_duplicates(docs, **options)
     kept = found.filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    least = docs.filter(blank).agg(F.min("doc_id")).first()[0]
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).filter(~blank | (F.col("doc_id") == F.lit(least)))
+    return named.unionByName(docs.filter("doc_id is null"))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
