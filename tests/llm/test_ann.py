@@ -52,3 +52,33 @@ def test_few_and_none(spark):
     assert run(spark, [(1, [1.0]), (2, [3.0])], [1, 1]) == {1: [(1, 2, 2.0)]}
     assert run(spark, [(1, [1.0])], [1]) == {}
     assert run(spark, [(1, None)], [1]) == {}
+
+
+def test_any_partitioning_gives_all_candidates(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(30, 8)))] + [(100 + k, [float(k), 1.0]) for k in range(4)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        found = run(spark, rows, [0, 29, 100])
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {**brute(rows[:30], [0, 29]), **brute(rows[30:], [100])}  # lengths are searched by themselves
+    assert {q: [i for _, i, _ in own] for q, own in found.items()} == {q: [i for _, i in own] for q, own in want.items()}
+    assert len(found[0]) == 10 and len(found[100]) == 3
+
+
+def test_query(spark, data):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    asked = [i for i, _ in rows if i % 100 == 0]
+    want, found = brute(rows, asked), {}
+    for r in A.op5_nearest_neighbours(spark, data).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == set(want)
+    assert sum(len(found[q] & {i for _, i in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_one_id_with_two_vectors_has_the_least(spark):
+    assert run(spark, [(1, [5.0]), (1, [2.0]), (2, [3.0])], [2]) == {2: [(1, 1, 1.0)]}
