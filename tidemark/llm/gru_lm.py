@@ -118,42 +118,40 @@ class GRU:
         p, weight = self.p, weight if grad is not None else 0
         kind = self.kind[y]
         order = np.argsort(kind, kind="stable")
-        states, kind, place = states[order], kind[order], y[order] - self.edges[kind[order]]
+        kind, place, s = kind[order], (y - self.edges[kind])[order], np.ascontiguousarray(states[order].T)
         bounds = np.searchsorted(kind, np.arange(self.classes + 1))
-        lp, share = self._chosen(states @ p["wc"] + p["bc"], kind, weight)
-        d = None
+        lp, share = self._chosen(p["wc"].T @ s + p["bc"][:, None], kind, weight)
         if grad is not None:
-            np.matmul(states.T, share, out=grad["wc"])
-            share.sum(0, out=grad["bc"])
-            d = share @ p["wc"].T
+            np.matmul(s, share.T, out=grad["wc"])
+            share.sum(1, out=grad["bc"])
+            d = p["wc"] @ share
         for c, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             if a == b:
                 continue
             own = slice(int(self.edges[c]), int(self.edges[c + 1]))
-            more, share = self._chosen(states[a:b] @ p["wo"][own].T + p["bo"][own], place[a:b], weight)
+            more, share = self._chosen(p["wo"][own] @ s[:, a:b] + p["bo"][own][:, None], place[a:b], weight)
             lp[a:b] += more
             if grad is not None:
-                grad["wo"][own], grad["bo"][own] = share.T @ states[a:b], share.sum(0)
-                d[a:b] += share @ p["wo"][own]
-        out = np.empty_like(lp)
+                grad["wo"][own], grad["bo"][own] = share @ s[:, a:b].T, share.sum(1)
+                d[:, a:b] += p["wo"][own].T @ share
+        out, back = np.empty_like(lp), None
         out[order] = lp
         if grad is not None:
-            back = np.empty_like(d)
-            back[order] = d
-            d = back
-        return out, d
+            back = np.empty_like(states)
+            back[order] = d.T
+        return out, back
 
     @staticmethod
     def _chosen(x: np.ndarray, which: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
-        """Log of the softmax of each row at ``which``; with a weight also the gradient of -weight * its sum. ``x`` is used up."""
-        x -= x.max(1, keepdims=True)
-        row = np.arange(len(x))
-        chosen = x[row, which]
+        """Log of the softmax of each column at ``which``; with a weight also the gradient of -weight * its sum. ``x`` is used up."""
+        x -= x.max(0)
+        column = np.arange(x.shape[1])
+        chosen = x[which, column]
         share = np.exp(x, out=x)
-        total = share.sum(1)
+        total = share.sum(0)
         if weight:
-            share *= (weight / total)[:, None]
-            share[row, which] -= weight
+            share *= weight / total
+            share[which, column] -= weight
         return chosen - np.log(total), share
 
     def gradient(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
