@@ -66,3 +66,10 @@ def test_a_sliced_column():
     column = pa.array(["a b", None, "c", "d e"]).slice(1, 3)
     low, starts, ends, ptr = words(*buffers(column))
     assert np.diff(ptr).tolist() == [0, 1, 2] and low[starts[0] : ends[0]].tobytes() == b"c"
+
+
+def test_vector_forms_agree_with_the_tables():
+    from tidemark.llm.textops import LOWER, SPACE, blanks, lowered
+
+    every = np.arange(256, dtype=np.uint8)
+    assert (lowered(every) == LOWER).all() and (blanks(every) == SPACE).all()

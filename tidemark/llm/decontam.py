@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.jaccard import slices
-from tidemark.llm.textops import SPACE, U64, buffers, mix, word_hashes, words
+from tidemark.llm.textops import U64, blanks, buffers, mix, word_hashes, words
 
 MAX_EDITS, RECALL = 0.2, 0.99
 WALKS, SAMPLED = 4, 12
@@ -46,16 +46,12 @@ def hashes_for(recall: float, hamming: float, sampled: int, windows: int = 1) ->
 
 def cgk(texts: np.ndarray, steps: int, seed: int) -> np.ndarray:
     """The walk of each row of a matrix of bytes (zero beyond its end): a row of ``steps`` bytes each."""
-    rng = np.random.default_rng(seed)
-    n, width = texts.shape
-    move = rng.integers(0, 2, (steps, 256), dtype=np.uint8)
-    out = np.empty((steps, n), np.uint8)
-    flat, at, row = np.ascontiguousarray(texts).ravel(), np.zeros(n, np.int64), np.arange(n) * width
+    move = np.random.default_rng(seed).integers(1, 256, steps, dtype=np.uint8)
+    data = np.append(np.pad(texts, ((0, 0), (0, 1))).ravel(), 0).astype(np.uint8)
+    at, out = np.arange(len(texts)) * (texts.shape[1] + 1), np.empty((steps, len(texts)), np.uint8)
     for j in range(steps):
-        now = flat[row + np.minimum(at, width - 1)]
-        now = np.where(at < width, now, 0)
-        out[j] = now
-        at += move[j][now]
+        out[j] = data[at]
+        at += (out[j] * move[j]) >> np.uint8(7)
     return out.T
 
 
@@ -113,7 +109,7 @@ class Texts:
         self.data = np.full(int((n + 1).sum()), 32, np.uint8)
         inside = np.ones(len(self.data), bool)
         inside[self.at + n] = False
-        self.data[inside] = low[~SPACE[low]]
+        self.data[inside] = low[~blanks(low)]
         full = np.diff(self.ptr) > 0
         self.end = np.zeros(len(self.ptr) - 1, np.int64)  # the place of each text's zero
         last = self.ptr[1:][full] - 1
@@ -133,8 +129,7 @@ class Sampler:
         halves = next(m for m in range(2, hashes + 3) if WALKS * m * (m - 1) // 2 >= hashes)
         self.steps, self.plans = steps, []
         for _ in range(WALKS):
-            move = rng.integers(0, 2, (steps, 256), dtype=np.uint8)
-            move[:, 0] = 0  # a walk stays at the end of its text
+            move = rng.integers(1, 256, steps, dtype=np.uint8)
             taken: list[list[int]] = [[] for _ in range(steps)]
             for h in range(halves):
                 for j in rng.choice(steps, sampled // 2, replace=False):
@@ -152,7 +147,7 @@ class Sampler:
                 for h in taken[j]:
                     half[h] *= U64(257)
                     half[h] += now
-                place += move[j][now]
+                place += (now * move[j]) >> np.uint8(7)  # a random function of the character, 0 at the end of the text
             one, two = [h * U64(0x9E3779B97F4A7C15) for h in half], [h * U64(0xBF58476D1CE4E5B9) for h in half]
             for i, j in itertools.combinations(range(halves), 2):
                 yield number, one[i] + two[j]
