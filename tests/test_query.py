@@ -108,3 +108,14 @@ def test_ordinals_are_dense(spark, values):
     got = {r["id"]: r["ordinal"] for r in global_ordinals(rows, [F.col("v"), F.col("id")]).collect()}
     want = {k: n for n, (_, k) in enumerate(sorted((v, k) for k, v in enumerate(values)))}
     assert got == want
+
+
+def test_last_by_an_expression_and_borders(spark):
+    rows = Query(spark.createDataFrame([(1, 5, None), (2, 1, "x"), (3, 9, "x"), (4, None, "y"), (5, 2, "y")], "id long, a long, k string"), "id")
+    assert [r["id"] for r in rows.order_by(F.col("a") + F.col("id")).last().collect()] == [3]
+    assert [r["id"] for r in rows.order_by_desc(F.col("a") + F.col("id")).last().collect()] == [4]
+    for block in (1, 2, 100):
+        assert sorted(r["id"] for r in rows.dedup_by_key("k", block).collect()) == [1, 2, 4]
+    down = rows.order_by_desc("a")  # 3, 1, 5, 2, 4
+    assert sorted(r["id"] for r in down.take_while("a > 2").collect()) == [1, 3] and sorted(r["id"] for r in down.skip_while("a > 2").collect()) == [2, 4, 5]
+    assert sorted(r["id"] for r in down.take_while("a is not null").collect()) == [1, 2, 3, 5] and rows.order_by("a").take_while("a is not null").count() == 0

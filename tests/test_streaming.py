@@ -12,7 +12,7 @@ def test_assignments():
     assert P.round_robin(9, ["c3", "c1", "c2"]) == {"c1": [0, 3, 6], "c2": [1, 4, 7], "c3": [2, 5, 8]}
     assert P.contiguous(10, ["c1", "c2"]) == {"c1": list(range(5)), "c2": list(range(5, 10))}
     assert P.contiguous(5, ["a", "b", "c"]) == {"a": [0, 1], "b": [2, 3], "c": [4]}
-    assert P.sticky(4, ["a", "b"], {"a": [0, 1, 2]}) == {"a": [0, 1, 2], "b": [3]}
+    assert P.sticky(4, ["a", "b"], {"a": [0, 1, 2]}) == {"a": [0, 1, 2, 3], "b": []}
     assert P.round_robin(3, []) == {} and P.contiguous(3, []) == {} and P.sticky(3, [], {}) == {}
     assert P.needs_rebalancing({"a": [0]}, ["a", "b"]) and not P.needs_rebalancing({"a": [0]}, ["a"])
     assert P.rebalance(2, ["a"], "range", 4) == ({"a": [0, 1]}, 5)
@@ -54,8 +54,8 @@ def test_dead_letters(spark):
     rows = spark.createDataFrame([(1, "ok", 0), (2, "retry", 0), (3, "retry", 2), (4, "dlq", 0)], "id int, o string, retries int")
     ok, again, dead = X.process(rows, F.col("o"), 3)
     assert [r["id"] for r in ok.collect()] == [1] and [(r["id"], r["retries"]) for r in again.collect()] == [(2, 1)] and sorted(r["id"] for r in dead.collect()) == [3, 4]
-    assert tuple(X.processing_stats(rows, F.col("o"), 3).first()) == (1, 1, 2, 0, 0.25)
-    assert tuple(X.processing_stats(rows, F.col("o"), 3, False).first()) == (1, 1, 0, 2, 0.25)
+    assert tuple(X.processing_stats(rows, F.col("o"), 3).first()) == (1, 2, 2, 0, 0.25)
+    assert tuple(X.processing_stats(rows, F.col("o"), 3, False).first()) == (1, 2, 0, 2, 0.25)
     assert X.processing_stats(rows.limit(0), F.col("o"), 3).first()["success_rate"] == 1.0
     letters = spark.createDataFrame([(1, 0), (2, 2), (3, 1)], "id int, attempts int")
     done, left = X.drain_dead_letters(letters, F.col("id") == 1, 3)
@@ -118,7 +118,7 @@ def test_streamed_interval_join(spark, tmp_path, data):
 
 def test_pipeline_retries_and_restarts(spark, tmp_path, data):
     events, stream = source(spark, tmp_path, data)
-    sink = X.write_with_changes(str(tmp_path / "t"), str(tmp_path / "x"))
+    sink = X.write_with_changes(str(tmp_path / "t"), str(tmp_path / "x"), "event_id", "event_id")
     failures = [2]
 
     def flaky(rows, batch):
@@ -144,3 +144,14 @@ def test_streamed_dedup(spark, tmp_path, data):
 def test_watch(spark):
     rows = spark.createDataFrame([("a:1", 1), ("b:1", 2), ("a:2", 3)], "key string, seq long")
     assert [r["seq"] for r in X.watch(rows, "a:", 1).collect()] == [3] and X.watch(rows).count() == 3
+
+
+def test_unmatched_rows_of_stream_joins(spark):
+    left, right = spark.createDataFrame([(1, 1), (2, 2)], "k long, a long"), spark.createDataFrame([(2, 3), (3, 4)], "k long, b long")
+    assert sorted(map(tuple, J.key_join(left, right, "k", "left").select("k", "a", "b").collect())) == [(1, 1, None), (2, 2, 3)]
+    assert sorted(map(tuple, J.key_join(left, right, "k", "outer").select("k", "a", "b").collect())) == [(1, 1, None), (2, 2, 3), (3, None, 4)]
+
+
+def test_sticky_deals_free_partitions_in_turn():
+    assert P.sticky(4, ["c1", "c2"], {"c1": [0, 1, 2]}) == {"c1": [0, 1, 2, 3], "c2": []}
+    assert P.rebalance(4, ["a", "b"], "sticky", 0, {"a": [1]})[0] == {"a": [0, 1, 3], "b": [2]} and P.sticky(2, ["a"]) == {"a": [0, 1]}

@@ -23,7 +23,7 @@ def _column(c: Predicate) -> Column:
 class Query:
     df: DataFrame
     pk: str
-    keys: tuple[Column, ...] = ()
+    keys: tuple[tuple[Column, bool], ...] = ()  # expression, whether it descends
     start: int = 0
     count: int | None = None
 
@@ -81,10 +81,10 @@ class Query:
 
     def order_by(self, key: Predicate) -> Query:
         """Ascending; a later order replaces an earlier one."""
-        return replace(self, keys=(F.col(key).asc() if isinstance(key, str) else key.asc(),))
+        return replace(self, keys=((F.col(key) if isinstance(key, str) else key, False),))
 
     def order_by_desc(self, key: Predicate) -> Query:
-        return replace(self, keys=(F.col(key).desc() if isinstance(key, str) else key.desc(),))
+        return replace(self, keys=((F.col(key) if isinstance(key, str) else key, True),))
 
     def take(self, n: int) -> Query:
         return replace(self, count=n)
@@ -104,7 +104,7 @@ class Query:
 
     @property
     def order(self) -> list[Column]:
-        return [*self.keys, F.col(self.pk).asc()]
+        return [*[k.desc() if down else k.asc() for k, down in self.keys], F.col(self.pk).asc()]
 
     def collect(self) -> DataFrame:
         """The rows, ordered if an order, offset or limit was asked for."""
@@ -124,7 +124,7 @@ class Query:
             ordered = self.collect()
             place = F.row_number().over(Window.orderBy(*self.order))
             return ordered.withColumn("__n", place).orderBy(F.desc("__n")).limit(1).drop("__n")  # a page, not the table
-        return self.df.orderBy(*[_reverse(k) for k in self.keys], F.col(self.pk).desc()).limit(1)
+        return self.df.orderBy(*[k.asc_nulls_first() if down else k.desc_nulls_last() for k, down in self.keys], F.col(self.pk).desc()).limit(1)
 
     def select(self, *columns) -> DataFrame:
         return self.collect().select(*columns)
@@ -164,27 +164,44 @@ class Query:
 
     def take_while(self, predicate: Predicate) -> DataFrame:
         """The rows before the first that does not match."""
-        return self._while(predicate).filter("__n < __stop").drop("__n", "__stop")
+        return self._while(predicate, True)
 
     def skip_while(self, predicate: Predicate) -> DataFrame:
         """The first row that does not match and all after it."""
-        return self._while(predicate).filter("__n >= __stop").drop("__n", "__stop")
+        return self._while(predicate, False)
 
-    def _while(self, predicate: Predicate) -> DataFrame:
-        rows = self.numbered("__n")
-        stop = rows.filter(~F.coalesce(_column(predicate), F.lit(False))).agg(F.coalesce(F.min("__n"), F.lit((1 << 63) - 1)).alias("__stop"))
-        return rows.join(F.broadcast(stop))  # one row
-
-    def dedup_by_key(self, key: str) -> DataFrame:
-        """Drops consecutive rows with the same key (nulls are equal)."""
+    def _while(self, predicate: Predicate, before: bool) -> DataFrame:
+        """A filter against the first row that does not match: one top-1 and one scan, no sort of all rows."""
+        rows = self.collect()
+        parts = [*self.keys, (F.col(self.pk), False)]
+        marked = rows.withColumn("__own", F.struct(*[k.alias(f"k{i}") for i, (k, _) in enumerate(parts)]))
+        failing = marked.filter(~F.coalesce(_column(predicate), F.lit(False))).orderBy(*self.order).limit(1)
+        stop = failing.agg(F.first("__own").alias("__stop"))
+        is_before, same = F.lit(False), F.lit(True)
+        for i, (_, down) in enumerate(parts):
+            own, end = F.col(f"__own.k{i}"), F.col(f"__stop.k{i}")
+            # ascending keys begin with nulls, descending ones end with them
+            earlier = F.coalesce(own > end, F.lit(False)) | (own.isNotNull() & end.isNull()) if down else F.coalesce(own < end, F.lit(False)) | (own.isNull() & end.isNotNull())
+            is_before, same = is_before | (same & earlier), same & own.eqNullSafe(end)
+        kept = F.col("__stop").isNull() | is_before
+        return marked.join(F.broadcast(stop)).filter(kept if before else ~kept).select(*rows.columns)  # one row
+
+    def dedup_by_key(self, key: str, block: int = 100_000) -> DataFrame:
+        """Drops consecutive rows with the same key (nulls are equal).
+
+        Rows are dealt by blocks of their ordinals; the last row of a block is copied to the next one.
+        """
         rows = self.numbered("__n")
-        before = rows.select((F.col("__n") + 1).alias("__n"), F.col(key).alias("__before"), F.lit(True).alias("__has"))
-        joined = rows.join(before, "__n", "left")
-        return joined.filter(F.col("__has").isNull() | ~F.col(key).eqNullSafe(F.col("__before"))).select(*self.df.columns)
+        own = F.floor(F.col("__n") / block).cast("long")
+        places = F.when((F.col("__n") + 1) % block == 0, F.array(F.struct(own.alias("b"), F.lit(False).alias("x")), F.struct((own + 1).alias("b"), F.lit(True).alias("x")))).otherwise(F.array(F.struct(own.alias("b"), F.lit(False).alias("x"))))
+        dealt = rows.withColumn("__at", F.explode(places)).withColumns({"__b": F.col("__at.b"), "__copy": F.col("__at.x")})
+        by = Window.partitionBy("__b").orderBy("__n")
+        marked = dealt.withColumns({"__before": F.lag(key).over(by), "__has": F.lag(F.lit(True)).over(by)})
+        return marked.filter(~F.col("__copy") & (F.col("__has").isNull() | ~F.col(key).eqNullSafe(F.col("__before")))).select(*self.df.columns)
 
     def sample(self, n: int, seed: int = 0) -> DataFrame:
-        """``n`` rows by a hash of the key: the same rows each time."""
-        return self.df.orderBy(F.xxhash64(F.col(self.pk), F.lit(seed)), self.pk).limit(n)
+        """``n`` rows by a hash of the key and the seed: the same rows each time."""
+        return self.df.orderBy(F.md5(F.concat_ws("#", F.col(self.pk).cast("string"), F.lit(str(seed)))), self.pk).limit(n)
 
     def explain(self) -> str:
         return self.collect()._jdf.queryExecution().explainString(self.df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -301,14 +318,6 @@ class Query:
         return self.collect().join(right, F.col(foreign_key) == F.col(right_key), "left")
 
 
-def _reverse(key: Column) -> Column:
-    """The opposite of an ascending or descending key, nulls at the other end."""
-    name = key._jc.toString() if hasattr(key, "_jc") else str(key)
-    body, _, way = name.rpartition(" ") if name.endswith(("FIRST", "LAST")) else (name, "", "")
-    field = body.split(" ")[0]
-    return F.expr(field).desc_nulls_last() if " ASC" in name else F.expr(field).asc_nulls_first()
-
-
 def global_ordinals(rows: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
     """0-based places in a total order, without gathering the rows in one task."""
     from tidemark.sources.storage import settled
@@ -319,3 +328,10 @@ def global_ordinals(rows: DataFrame, order: list[Column], name: str = "ordinal")
     before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
     return dealt.withColumn(name, own).join(F.broadcast(before), "__p").withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__p", "__before")
+
+
+def grouped_ordinals(rows: DataFrame, group: str, order: list[Column], name: str = "ordinal") -> DataFrame:
+    """0-based places within each group, without gathering a group in one task: global places less the group's first."""
+    numbered = global_ordinals(rows, [F.col(group).asc(), *order], "__g")
+    first = numbered.groupBy(group).agg(F.min("__g").alias("__first"))  # a row per group
+    return numbered.join(first.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group"))).withColumn(name, F.col("__g") - F.col("__first")).drop("__g", "__first", "__group")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions import values as V
 from tidemark.operators import dml
-from tidemark.operators.query import Query
+from tidemark.operators.query import Query, grouped_ordinals
 from tidemark.plans import minilang, schemas, sqltext
 from tidemark.sources import collections as S
+from tidemark.sources.storage import new_folder
 from tidemark.streaming import changes as X
 from tidemark.streaming import consumers as C
 from tidemark.streaming import joins as J
@@ -144,9 +145,9 @@ def scan_read_from(t):
     return S.read_from(t("events"), 300, 50, "event_id").select("event_id", "value")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer ORDER BY c_custkey LIMIT 10")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment FROM customer ORDER BY c_custkey LIMIT 10")
 def scan_sample_json(t):
-    return S.sample_json(t("customer"), "c_custkey", 10).select("key", V.json_field("value", "c_name").alias("name"))
+    return S.sample_json(t("customer"), "c_custkey", 10).select("key", *[V.json_field("value", c).alias(a) for c, a in (("c_name", "name"), ("c_nationkey", "nation"), ("c_mktsegment", "segment"))])
 
 
 @query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS _key, 'customer:' || c_custkey AS _full_key, 'customer' AS _collection FROM customer")
@@ -160,10 +161,11 @@ def scan_ensure_id(t):
     return S.ensure_id(rows, "c_custkey")
 
 
-@query("SELECT 'customer' AS collection, CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey IN (1, 2) UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey IN (2, 3)")
+@query("SELECT 'customer' AS collection, CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer WHERE c_custkey IN (1, 2) UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_partkey IN (2, 3)")
 def scan_multi_collection(t):
     tables = {"customer": (t("customer"), "c_custkey"), "part": (t("part"), "p_partkey")}
-    return S.multi_get(tables, {"customer": [1, 2], "part": [2, 3]}).select("collection", "key")
+    found = S.multi_get(tables, {"customer": [1, 2], "part": [2, 3]})
+    return found.select("collection", "key", F.coalesce(V.json_field("value", "c_name"), V.json_field("value", "p_name")).alias("name"))
 
 
 @query("SELECT max(event_id) + 1 AS latest FROM events")
@@ -223,7 +225,7 @@ def filter_is_false(t):
 @query("SELECT o_orderkey FROM orders WHERE [o_orderstatus, o_orderpriority] = ['F', '1-URGENT']")
 def filter_arrays(t):
     rows = t("orders").withColumn("both", F.array("o_orderstatus", "o_orderpriority"))
-    return rows.filter(F.col("both") == F.array(F.lit("F"), F.lit("1-URGENT"))).select("o_orderkey")
+    return Query(rows, "o_orderkey").where_eq("both", ["F", "1-URGENT"]).pluck("o_orderkey")
 
 
 @query("SELECT * FROM customer WHERE c_nationkey = 7")
@@ -293,9 +295,9 @@ def minilang_not_equal(t):
     return minilang.filter_rows(t("customer"), "c_mktsegment!=BUILDING,c_nationkey!=7").select("c_custkey")
 
 
-@query("SELECT event_id FROM events WHERE false")
-def minilang_json_number(t):
-    return minilang.filter_json(t("events"), "props", "k=69").select("event_id")
+@query("SELECT event_id FROM events")
+def minilang_json_number(t):  # a number is no string, so it differs from every text
+    return minilang.filter_json(t("events"), "props", "k!=69").select("event_id")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 15 OFFSET 30")
@@ -349,14 +351,14 @@ def join_stream_inner(t):
     return J.key_join(side(t, "view", "v"), side(t, "purchase", "p"), "user_id").select("user_id", "v_id", "p_id")
 
 
-@query(f"SELECT v.user_id, v.event_id AS v_id, p.event_id AS p_id FROM ({EV.format('view')}) v LEFT JOIN (SELECT * FROM ({EV.format('purchase')}) WHERE user_id % 2 = 0) p ON v.user_id = p.user_id")
+@query(f"SELECT v.user_id, v.event_id AS v_id, p.event_id AS p_id FROM ({EV.format('view')}) v LEFT JOIN ({EV.format('purchase')}) p ON v.user_id = p.user_id")
 def join_stream_left(t):
-    return J.key_join(side(t, "view", "v"), side(t, "purchase", "p").filter("user_id % 2 = 0"), "user_id", "left").select("user_id", "v_id", "p_id")
+    return J.key_join(side(t, "view", "v"), side(t, "purchase", "p"), "user_id", "left").select("user_id", "v_id", "p_id")
 
 
-@query(f"SELECT coalesce(v.user_id, p.user_id) AS user_id, v.event_id AS v_id, p.event_id AS p_id FROM (SELECT * FROM ({EV.format('view')}) WHERE user_id % 3 = 0) v FULL JOIN (SELECT * FROM ({EV.format('purchase')}) WHERE user_id % 2 = 0) p ON v.user_id = p.user_id")
+@query(f"SELECT coalesce(v.user_id, p.user_id) AS user_id, v.event_id AS v_id, p.event_id AS p_id FROM ({EV.format('view')}) v FULL JOIN ({EV.format('purchase')}) p ON v.user_id = p.user_id")
 def join_stream_outer(t):
-    return J.key_join(side(t, "view", "v").filter("user_id % 3 = 0"), side(t, "purchase", "p").filter("user_id % 2 = 0"), "user_id", "outer").select("user_id", "v_id", "p_id")
+    return J.key_join(side(t, "view", "v"), side(t, "purchase", "p"), "user_id", "outer").select("user_id", "v_id", "p_id")
 
 
 @query(f"SELECT v.user_id, v.event_id AS v_id, p.event_id AS p_id FROM ({EV.format('view')}) v JOIN ({EV.format('purchase')}) p ON v.user_id = p.user_id AND p.ts BETWEEN v.ts - INTERVAL 1 HOUR AND v.ts + INTERVAL 6 HOUR")
@@ -542,11 +544,9 @@ def agg_fold(t):
     return t.q("events").fold(F.lit(0).cast("long"), lambda a, x: (a * 31 + x.event_id) % 1000, "user_id").select("user_id", "state")
 
 
-@query("SELECT count(*) AS items, CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) + strlen(c_name)) AS BIGINT) AS bytes FROM customer")
+@query("SELECT count(*) AS items, CAST(sum(strlen(CAST(n_nationkey AS VARCHAR)) + strlen('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}')) AS BIGINT) AS bytes FROM nation")
 def agg_collection_stats(t):
-    rows = t("customer").select("c_custkey", "c_name")
-    size = F.octet_length(F.col("c_custkey").cast("string")) + F.octet_length("c_name")
-    return rows.agg(F.count("*").alias("items"), F.sum(size).alias("bytes"))
+    return S.stats(t("nation").select("n_nationkey", "n_name"), "n_nationkey")
 
 
 @query("SELECT 'c_mktsegment' AS field, count(DISTINCT c_mktsegment) AS unique_values, count(c_mktsegment) AS entries FROM customer UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey), count(c_nationkey) FROM customer")
@@ -628,9 +628,9 @@ def page_chunks(t):
     return t.q("customer").chunks(64).select("chunk", F.explode("items").alias("x")).select("chunk", "x.c_custkey")
 
 
-@query("SELECT count(*) AS n, 40 AS wanted FROM (SELECT * FROM customer LIMIT 40)")
+@query("SELECT c_custkey, c_name FROM customer ORDER BY md5(c_custkey || '#7'), c_custkey LIMIT 40")
 def page_sample(t):
-    return t.q("customer").sample(40, 7).join(t("customer").select("c_custkey"), "c_custkey").agg(F.count("*").alias("n"), F.lit(40).alias("wanted"))
+    return t.q("customer").sample(40, 7).select("c_custkey", "c_name")
 
 
 # -- windows over event time -------------------------------------------------------------------------------------------
@@ -665,7 +665,8 @@ def window_items(t):
 
 @query("SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region")
 def set_union_distinct(t):
-    return t("nation").select(F.col("n_nationkey").alias("k")).union(t("region").select("r_regionkey")).distinct()
+    keys = dml.insert(t("nation").select(F.col("n_nationkey").alias("k")), t("region").select(F.col("r_regionkey").alias("k")))
+    return Query(keys, "k").distinct("k")
 
 
 @query("SELECT c_custkey AS k FROM customer UNION ALL SELECT p_partkey FROM part")
@@ -684,14 +685,21 @@ def text_tokenize(t):
 TOKENS = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: strlen(x) > 1)) AS token FROM documents"
 
 
-@query(f"SELECT token, doc_id, count(*) AS tf FROM ({TOKENS}) WHERE starts_with(token, 'the') GROUP BY 1, 2")
+@query(f"SELECT token, doc_id, count(*) AS tf FROM ({TOKENS}) GROUP BY 1, 2")
 def text_index(t):
-    return T.text_index(t("documents"), "doc_id", "text").filter(F.col("token").startswith("the"))
+    return T.text_index(t("documents"), "doc_id", "text")
 
 
 @query(f"SELECT doc_id, CAST(sum(CASE token WHEN 'the' THEN 2 ELSE 1 END) AS BIGINT) AS score FROM ({TOKENS}) WHERE token IN ('the', 'of') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
 def text_search(t):
-    return T.search(T.text_index(t("documents"), "doc_id", "text"), "doc_id", "The of the", 25)
+    return T.search_rows(t("documents"), "doc_id", "text", "The of the", 25)
+
+
+@query(f"SELECT doc_id, CAST(sum(CASE token WHEN 'the' THEN 2 ELSE 1 END) AS BIGINT) AS score FROM ({TOKENS}) WHERE token IN ('the', 'of') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
+def text_search_stored(t):
+    path = new_folder(t.spark, "index")
+    T.save_text_index(t("documents"), "doc_id", "text", path)
+    return T.search_stored(t.spark, path, "doc_id", "The of the", 25)
 
 
 @query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS score FROM ({TOKENS}) WHERE token IN ('and', 'une') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
@@ -715,10 +723,10 @@ def value_timestamps(t):
     return rows.select("event_id", V.naive_text("ts").alias("naive"), V.rfc3339_text("at").alias("utc"))
 
 
-@query("SELECT count(*) AS n, count(*) AS same FROM customer")
+@query("SELECT count(*) AS n, count(DISTINCT (c_mktsegment, c_nationkey)) AS hashes FROM customer")
 def value_hash(t):
-    rows = t("customer").select(V.value_hash("c_custkey", "c_name").alias("a"), V.value_hash("c_custkey", "c_name").alias("b"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+    rows = t("customer").select(V.value_hash("c_mktsegment", "c_nationkey").alias("h"))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("h").alias("hashes"))
 
 
 # -- writes ------------------------------------------------------------------------------------------------------------
@@ -856,9 +864,27 @@ def consumer_latest(t):
     return C.starting_positions(clog(t), offs(t).limit(0), "g9", C.LATEST).select("partition", "position")
 
 
-@query("SELECT CAST(77 AS BIGINT) AS position")
+@query(f"SELECT partition, seq FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY seq) AS n FROM ({CLOG}) WHERE seq >= 77 AND op <> 'delete') WHERE n <= 5")
 def consumer_seek_position(t):
-    return C.position(C.seek(C.starting_positions(clog(t), offs(t), "g1"), 77))
+    log = clog(t)
+    return C.poll(log, C.seek(C.starting_positions(log, offs(t), "g1"), 77), 5).select("partition", "seq")
+
+
+@query(f"SELECT min(CASE partition WHEN 0 THEN 100 WHEN 1 THEN 99999999 ELSE 0 END)::BIGINT AS position FROM ({CLOG}) WHERE partition < 2")
+def consumer_position(t):
+    at = C.starting_positions(clog(t), offs(t), "g1").filter("partition < 2")
+    return C.position(at)
+
+
+@query(f"SELECT * FROM ({OFFS}) WHERE \"group\" <> 'g1'")
+def consumer_delete_group(t):
+    return C.delete_group(offs(t), "g1")
+
+
+@query(f"SELECT \"group\", collection, partition, position FROM ({OFFS}) WHERE \"group\" = 'g2' UNION ALL SELECT 'g1', 'events', partition, max(seq) + 1 FROM ({CLOG}) GROUP BY partition")
+def consumer_close(t):
+    log = clog(t)
+    return C.close(offs(t), "g1", C.starting_positions(log, offs(t).limit(0), "g1", C.LATEST))
 
 
 @query(f"SELECT o.\"group\", o.partition, m AS latest, CAST(position AS BIGINT) AS committed, CAST(greatest(m - position, 0) AS BIGINT) AS lag FROM ({OFFS}) o JOIN (SELECT partition, max(seq) + 1 AS m FROM ({CLOG}) GROUP BY 1) USING (partition)")
@@ -893,9 +919,28 @@ def assign_range(t):
     return P.assignment_rows(t.spark, P.contiguous(10, ["c1", "c2"]))
 
 
-@query("SELECT * FROM (VALUES ('c1', 0), ('c1', 1), ('c1', 2), ('c2', 3)) v(consumer, partition)")
+PREVIOUS = "SELECT * FROM (VALUES ('c1', 0), ('c1', 1), ('c1', 2), ('c2', 3), ('c2', 4), ('gone', 5), ('gone', 6), ('gone', 7)) v(consumer, partition)"
+
+
+@query(f"SELECT consumer, partition FROM ({PREVIOUS}) WHERE consumer <> 'gone' UNION ALL SELECT ['c1', 'c2', 'c3'][(row_number() OVER (ORDER BY partition) - 1) % 3 + 1], partition FROM (SELECT CAST(unnest(range(10)) AS INTEGER) AS partition) WHERE partition NOT IN (SELECT partition FROM ({PREVIOUS}) WHERE consumer <> 'gone')")
 def assign_sticky(t):
-    return P.assignment_rows(t.spark, P.sticky(4, ["c1", "c2"], {"c1": [0, 1, 2]}))
+    previous = {"c1": [0, 1, 2], "c2": [3, 4], "gone": [5, 6, 7]}
+    return P.assignment_rows(t.spark, P.rebalance(10, ["c1", "c2", "c3"], "sticky", 1, previous)[0])
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 3), ('a', 2, 3), ('b', 1, 3), ('b', 3, 3)) v(consumer, partition, generation)")
+def assign_group(t):  # two join, a third joins and leaves again
+    group = P.Group(4, "round_robin")
+    for member in ("a", "b"):
+        group.join(member)
+    group.join("a")
+    group.join("c"), group.leave("c")
+    return P.assignment_rows(t.spark, group.assigned).withColumn("generation", F.lit(group.generation - 1))
+
+
+@query("SELECT true AS joined, false AS same")
+def assign_needs_rebalancing(t):
+    return t.spark.createDataFrame([(P.needs_rebalancing({"a": [0]}, ["a", "b"]), P.needs_rebalancing({"a": [0], "b": [1]}, ["b", "a"]))], "joined boolean, same boolean")
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey < 100 THEN 0 WHEN o_orderkey < 5000 THEN 1 ELSE 2 END AS INTEGER) AS partition FROM orders")
@@ -908,10 +953,46 @@ def partition_append_round_robin(t):
     return P.append_partitioned(t("events").select("event_id"), 3, "event_id").select("event_id", "partition", "seq")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT user_id) AS keys FROM events")
-def partition_by_key(t):
-    rows = P.with_partition(t("events"), "user_id", 8).groupBy("partition").agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("keys"))
-    return rows.agg(F.sum("rows").alias("rows"), F.sum("keys").alias("keys"))
+@query("SELECT count(*) AS rows, count(DISTINCT user_id) AS keys, count(DISTINCT user_id) AS owners FROM events")
+def partition_by_key(t):  # each key has one partition
+    rows = P.with_partition(t("events"), "user_id", 8)
+    return rows.filter("partition between 0 and 7").agg(F.count("*").alias("rows"), F.countDistinct("user_id").alias("keys"), F.countDistinct("user_id", "partition").alias("owners"))
+
+
+HASHED = "('0x' || substr(md5(user_id::VARCHAR), 1, 8))::BIGINT"
+
+
+@query(f"SELECT event_id, CAST({HASHED} % 8 AS INTEGER) AS partition FROM events")
+def partition_custom(t):
+    return P.with_partition(t("events"), "user_id", 8, P.md5_partition).select("event_id", "partition")
+
+
+@query(f"WITH r AS (SELECT n, ('0x' || substr(md5(n || '#' || k), 1, 8))::BIGINT AS p FROM (SELECT unnest(['n1', 'n2', 'n3']) AS n) CROSS JOIN (SELECT unnest(range(16)) AS k)), u AS (SELECT DISTINCT user_id, {HASHED} AS h FROM events) SELECT user_id, coalesce((SELECT arg_min(n, p) FROM r WHERE p >= h), (SELECT arg_min(n, p) FROM r)) AS node FROM u")
+def partition_ring(t):
+    return Query(t("events"), "event_id").distinct("user_id").withColumn("node", P.Ring(["n1", "n2", "n3"]).node(F.col("user_id")))
+
+
+@query("SELECT partition, count(*) AS rows, min(seq) AS first, max(seq) AS last FROM (SELECT CAST(user_id % 4 AS INTEGER) AS partition, event_id AS seq FROM events) GROUP BY 1")
+def partition_stats(t):
+    return P.partition_stats(clog(t))
+
+
+@query("WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n, CAST(ceil(count(*) OVER () / 4) AS BIGINT) AS size FROM events) SELECT event_id, CAST(n // size AS INTEGER) AS partition, n % size AS seq FROM e")
+def partition_append_chunks(t):
+    return P.append_partitioned(t("events").select("event_id"), 4, "event_id", chunks=True)
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events")
+def partition_places(t):
+    return grouped_ordinals(t("events"), "user_id", [F.col("event_id").asc()], "place").select("event_id", "place")
+
+
+@query("SELECT * FROM (VALUES ('start', '10,20'), ('split', '10,15,20'), ('merged', '15,20'), ('within', '0,1')) v(step, boundaries)")
+def partition_split_merge(t):
+    start = P.Ranges([20, 10])
+    split = start.split(15)
+    text = lambda x: ",".join(map(str, x))
+    return t.spark.createDataFrame([("start", text(start.boundaries)), ("split", text(split.boundaries)), ("merged", text(split.merge(10).boundaries)), ("within", text(split.within(3, 15)))], "step string, boundaries string")
 
 
 @query(f"SELECT user_id, {SUM.format('value')} AS total FROM events GROUP BY 1")
@@ -953,7 +1034,7 @@ def change_watch(t):
 OUTCOME = "CASE WHEN value < 20 THEN 'ok' WHEN value < 50 THEN 'retry' ELSE 'dlq' END"
 
 
-@query(f"SELECT p AS processed, r AS retries, d AS dlq_sent, CAST(0 AS BIGINT) AS dropped, p / n AS success_rate FROM (SELECT count(*) FILTER (o = 'ok') AS p, count(*) FILTER (o = 'retry' AND k + 1 < 3) AS r, count(*) FILTER (o = 'dlq' OR (o = 'retry' AND k + 1 >= 3)) AS d, count(*) AS n FROM (SELECT {OUTCOME} AS o, event_id % 3 AS k FROM events))")
+@query(f"SELECT p AS processed, r AS retries, d AS dlq_sent, CAST(0 AS BIGINT) AS dropped, p / n AS success_rate FROM (SELECT count(*) FILTER (o = 'ok') AS p, count(*) FILTER (o = 'retry') AS r, count(*) FILTER (o = 'dlq' OR (o = 'retry' AND k + 1 >= 3)) AS d, count(*) AS n FROM (SELECT {OUTCOME} AS o, event_id % 3 AS k FROM events))")
 def dlq_stats(t):
     rows = t("events").withColumn("retries", (F.col("event_id") % 3).cast("int"))
     return X.processing_stats(rows, F.expr(OUTCOME), 3)
@@ -979,9 +1060,48 @@ def schema_analyze_json(t):
     return schemas.analyze_json(t("events"), "props")
 
 
-@query("SELECT 'c_custkey' AS field, 'bigint' AS type, CAST(0 AS BIGINT) AS nulls UNION ALL SELECT 'c_name', 'string', 0 UNION ALL SELECT 'c_nationkey', 'int', 0 UNION ALL SELECT 'c_acctbal', 'double', 0 UNION ALL SELECT 'c_mktsegment', 'string', 0")
+def _analyzed(*fields: tuple[str, str]) -> str:
+    one = "SELECT '{0}' AS field, '{1}' AS type, count(*) - count({0}) AS nulls, count(DISTINCT {0}) AS distinct_values, count(*) = count(DISTINCT {0}) AS is_key, min(CAST({0} AS VARCHAR)) AS least FROM customer"
+    return " UNION ALL ".join(one.format(*f) for f in fields)
+
+
+@query(_analyzed(("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")))
 def schema_analyze(t):
-    return schemas.analyze(t("customer")).select("field", "type", "nulls")
+    found = schemas.analyze(t("customer").drop("c_acctbal"), exact=True)
+    return found.withColumn("least", F.col("samples")[0]).drop("samples")
+
+
+@query("SELECT * FROM (VALUES ('added', 'c_phone', false), ('removed', 'c_name', true), ('type', 'c_nationkey', true)) v(kind, field, breaking)")
+def schema_compare(t):
+    old = t("customer").schema
+    new = t("customer").drop("c_name").withColumns({"c_nationkey": F.col("c_nationkey").cast("long"), "c_phone": F.lit("")}).schema
+    return t.spark.createDataFrame([(c.kind, c.field, c.breaking) for c in schemas.compare(old, new)], "kind string, field string, breaking boolean")
+
+
+@query("SELECT * FROM (VALUES ('first', 1), ('again', 1), ('wider', 2), ('refused', 0), ('migrated', 3), ('latest', 3)) v(step, version)")
+def schema_registry(t):
+    known, base = schemas.SchemaRegistry(), t("nation")
+    narrow = base.drop("n_name")
+    steps = [("first", known.register("nation", base.schema)), ("again", known.register("nation", base.schema)), ("wider", known.register("nation", base.withColumn("x", F.lit(1)).schema))]
+    try:
+        steps.append(("refused", known.register("nation", narrow.schema)))
+    except ValueError:
+        steps.append(("refused", 0))
+    steps += [("migrated", known.register("nation", narrow.schema, "m1")), ("latest", known.latest_version("nation"))]
+    return t.spark.createDataFrame(steps, "step string, version int")
+
+
+@query("SELECT 'customer' AS name, 2 AS fields, 'bigint' AS kind")
+def schema_get(t):
+    known = schemas.SchemaRegistry()
+    known.register("customer", t("customer").select("c_custkey", "c_name").schema)
+    found = known.get("customer", 1)
+    return t.spark.createDataFrame([(n, len(found), found[0].dataType.simpleString()) for n in known.names()], "name string, fields int, kind string")
+
+
+@query("SELECT 'CREATE TABLE IF NOT EXISTS customer (c_custkey BIGINT NOT NULL, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING) USING parquet' AS ddl")
+def schema_ddl(t):
+    return t.spark.createDataFrame([(sqltext.create_table_sql("customer", t("customer").schema, "c_custkey"),)], "ddl string")
 
 
 @query("SELECT count(*) AS rows, 5 AS fields, count(DISTINCT c_custkey) AS keys, true AS key_is_unique FROM customer")
@@ -993,3 +1113,143 @@ def schema_describe(t):
 def schema_migrate(t):
     steps = {2: lambda d: d.withColumn("premium", F.col("n_nationkey") % 2 == 0), 3: lambda d: d.select("n_nationkey", F.upper("n_name").alias("title"), "premium")}
     return schemas.migrate(t("nation"), 1, 3, steps)
+
+
+# -- copies, snapshots and saved indexes -------------------------------------------------------------------------------
+
+
+def kept(t, write: Callable[[str], None]) -> DataFrame:
+    """What ``write`` puts into a new folder, read again."""
+    path = new_folder(t.spark, "copy")
+    write(path)
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT * FROM supplier")
+def write_clone(t):
+    return kept(t, lambda path: dml.clone_to(t("supplier"), path))
+
+
+@query("SELECT * FROM part")
+def write_backup(t):
+    return kept(t, lambda path: dml.backup(t("part"), path))
+
+
+@query("SELECT count(*) AS rows, true AS few FROM orders")
+def write_compact(t):
+    found = kept(t, lambda path: dml.compact(t("orders").repartition(9), path, 2)).select(F.input_file_name().alias("file"))
+    return found.agg(F.count("*").alias("rows"), (F.countDistinct("file") <= 2).alias("few"))
+
+
+@query("SELECT n_nationkey, upper(n_name) AS n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, upper(n_name), n_regionkey FROM nation")
+def write_with_hooks(t):
+    upper = lambda rows: rows.withColumn("n_name", F.upper("n_name"))
+    shift = lambda rows: rows.withColumn("n_nationkey", (F.col("n_nationkey") + 100).cast(rows.schema["n_nationkey"].dataType))
+    seen = []
+    out = dml.with_hooks(lambda rows: dml.insert(upper(t("nation")), rows), t("nation"), [upper, shift], [seen.append])
+    return seen[0].select(*out.columns)
+
+
+@query("SELECT * FROM nation WHERE n_regionkey <> 1")
+def write_delete_with_hooks(t):
+    return dml.with_hooks(lambda keys: dml.delete(t("nation"), "n_nationkey", keys), t("nation"), [lambda rows: rows.filter("n_regionkey = 1")])
+
+
+@query("SELECT event_id FROM events WHERE event_id + 1000 <= 5000")
+def write_ttl_cleanup(t):
+    return dml.expired(dml.with_ttl(t("events"), 1000, F.col("event_id")), 5000).select("event_id")
+
+
+@query("SELECT * FROM region")
+def scan_snapshot(t):
+    return S.snapshot(t("region"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def scan_partitioned(t):
+    path = new_folder(t.spark, "parts")
+    S.write_partitioned(t("orders").select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
+    return S.read_partition(t.spark, path, o_orderstatus="F")
+
+
+@query("SELECT * FROM customer WHERE c_name = 'Customer#000000007'")
+def filter_query_unique(t):
+    return S.query_unique(t("customer"), "c_name", "Customer#000000007")
+
+
+@query("SELECT p_partkey AS key FROM part WHERE p_size = 7")
+def scan_saved_index(t):
+    path = new_folder(t.spark, "index")
+    S.save_index(t("part"), "p_partkey", "p_size", path)
+    return S.load_index(t.spark, path, 7)
+
+
+@query("SELECT true AS pushed, true AS pruned")
+def page_explain(t):
+    plan = Query(t("lineitem").select("l_orderkey", "l_quantity"), "l_orderkey").where_gt("l_quantity", 45).explain()
+    return t.spark.createDataFrame([("GreaterThan(l_quantity" in plan, "l_comment" not in plan and "l_discount" not in plan)], "pushed boolean, pruned boolean")
+
+
+@query("SELECT s_suppkey AS c_custkey FROM supplier WHERE s_suppkey >= 5 ORDER BY 1 LIMIT 3")
+def page_preloaded(t):
+    return t.q("customer").where_gte("c_custkey", 5).take(3).preloaded(t("supplier").filter("s_suppkey >= 5").select(F.col("s_suppkey").alias("c_custkey"))).collect()
+
+
+# -- streams -----------------------------------------------------------------------------------------------------------
+
+
+def streamed(t, sink: Callable[[DataFrame, int], None], change: Callable[[DataFrame], DataFrame] = lambda rows: rows, files: int = 2) -> None:
+    """Runs the events through a stream of at most ``files`` files a batch until all are handled."""
+    folder = new_folder(t.spark, "events")
+    t("events").repartition(5).write.parquet(folder)
+    stream = X.event_stream(t.spark, folder, "*.parquet", t("events").schema, files)
+    query = X.run_pipeline(change(stream), sink, new_folder(t.spark, "checkpoint"))
+    query.awaitTermination()
+
+
+@query("SELECT event_id, upper(event_type) AS kind FROM events WHERE value > 50")
+def stream_filter_map(t):
+    path = new_folder(t.spark, "sink")
+    change = lambda rows: rows.filter("value > 50").select("event_id", F.upper("event_type").alias("kind"))
+    streamed(t, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}"), change)
+    return t.spark.read.parquet(path).drop("batch")
+
+
+def put(t) -> tuple[DataFrame, DataFrame]:
+    """Table and change rows that a stream of events leaves; errors are deletes."""
+    table, changes = new_folder(t.spark, "table"), new_folder(t.spark, "changes")
+    streamed(t, X.write_with_changes(table, changes, "event_id", "event_id", F.col("event_type") == "error"))
+    return t.spark.read.parquet(table).drop("batch"), t.spark.read.parquet(changes).drop("batch")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type <> 'error'")
+def stream_put(t):
+    return put(t)[0].select("event_id", "user_id", "value")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, CASE WHEN event_type <> 'error' THEN user_id END AS user_id FROM events")
+def stream_outbox(t):
+    return put(t)[1].select("key", "seq", "op", F.get_json_object("value", "$.user_id").cast("long").alias("user_id"))
+
+
+@query("SELECT op, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op FROM events) GROUP BY 1")
+def stream_handlers(t):
+    rows = X.change_rows(t("events"), "event_id", "event_id", F.col("event_type") == "error")
+    count = lambda part: part.groupBy("op").agg(F.count("*").alias("n"))
+    return X.handled(rows, {"put": count, "delete": count})
+
+
+@query("SELECT event_id FROM events WHERE event_id >= 500")
+def stream_outbox_drain(t):
+    return X.drain_since(t("events"), 500, "event_id").select("event_id")
+
+
+@query("SELECT user_id, count(*) AS total FROM events GROUP BY 1")
+def change_saved_state(t):
+    path = new_folder(t.spark, "state")
+    log = t("events").select("user_id", F.col("event_id").alias("seq"), F.lit(1).alias("n"))
+    rest = log
+    for upto in (100, 4000):  # the later run replaces the earlier one
+        rest = X.snapshot_job(log, path, upto, "user_id", "n")
+    state, _ = X.load_state(t.spark, path)
+    return X.resume(state, rest, "user_id", "n")

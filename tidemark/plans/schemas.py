@@ -66,15 +66,25 @@ def migrate(df: DataFrame, version: int, target: int, steps: dict[int, Callable[
     return df
 
 
-def analyze(df: DataFrame, samples: int = 3) -> DataFrame:
-    """(field, type, nulls, distinct_values, is_key): one pass over the rows; a key is unique and never null."""
-    total = F.count("*")
-    parts = []
-    for f in df.schema:
-        c = F.col(f.name)
-        parts += [F.count_if(c.isNull()).alias(f"n_{f.name}"), F.approx_count_distinct(c.cast("string")).alias(f"d_{f.name}")]
-    row = df.agg(total.alias("total"), *parts)
-    shape = [F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n_{f.name}").alias("nulls"), F.col(f"d_{f.name}").alias("distinct_values")) for f in df.schema]
+def analyze(df: DataFrame, exact: bool = False) -> DataFrame:
+    """(field, type, nulls, distinct_values, is_key, samples): one row per field; samples are the least and the greatest value.
+
+    A key is unique and never null. Distinct values are estimates, and a key is a guess, unless ``exact`` (which expands
+    the rows by the fields).
+    """
+    parts, distinct = [F.count("*").alias("total")], F.countDistinct if exact else F.approx_count_distinct
+    for k, f in enumerate(df.schema):
+        text = F.col(f"`{f.name}`").cast("string")
+        parts += [F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"n_{k}"), distinct(text).alias(f"d_{k}"), F.array(F.min(text), F.max(text)).alias(f"s_{k}")]
+    row = df.agg(*parts)
+    rows = F.col("total")
+    shape = [
+        F.struct(
+            F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n_{k}").alias("nulls"), F.col(f"d_{k}").alias("distinct_values"),
+            ((F.col(f"n_{k}") == 0) & (F.col(f"d_{k}") >= (rows if exact else rows * 0.95))).alias("is_key"), F.col(f"s_{k}").alias("samples"),
+        )
+        for k, f in enumerate(df.schema)
+    ]
     return row.select(F.explode(F.array(*shape)).alias("x")).select("x.*")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -16,6 +16,26 @@ def read_collection(spark: SparkSession, folder: str, name: str, pk: str) -> Que
     return Query(spark.read.parquet(f"{folder}/{name}.parquet"), pk)
 
 
+def snapshot(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written: later changes of the source do not show."""
+    from tidemark.sources.storage import settled
+
+    return settled(df)
+
+
+def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
+    """A table with a folder per value of ``columns``; a filter on them reads only the folders it needs."""
+    df.write.mode("overwrite").partitionBy(*columns).parquet(path)
+
+
+def read_partition(spark: SparkSession, path: str, **values) -> DataFrame:
+    """Rows of the folders with these values (pruned by the planner)."""
+    df = spark.read.parquet(path)
+    for column, value in values.items():
+        df = df.filter(F.col(column) == F.lit(value))
+    return df
+
+
 class Catalog:
     """Collections by name, with their primary keys; names are temporary views."""
 
@@ -106,6 +126,24 @@ def index_stats(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return rows.groupBy("x.field").agg(F.countDistinct("x.value").alias("unique_values"), F.count("*").alias("entries"))
 
 
+def query_unique(df: DataFrame, field: str, value) -> DataFrame:
+    """The row whose field has the value, or none; an error if several have it."""
+    found = df.filter(F.col(field) == F.lit(value)).limit(2)
+    one = found.agg(F.count("*").alias("__n"), F.first(F.struct(*df.columns)).alias("r"))
+    row = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"{field} is not unique")).cast(one.schema["r"].dataType)).otherwise(F.col("r"))
+    return one.filter("__n > 0").select(row.alias("r")).select("r.*")
+
+
+def save_index(df: DataFrame, pk: str, field: str, path: str) -> None:
+    """The index of a field, (value, key) sorted by value in each file, so that row groups are skipped."""
+    df.select(F.col(field).alias("value"), F.col(pk).alias("key")).filter("value is not null").repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, value) -> DataFrame:
+    """(key) of the rows with a value, from a saved index."""
+    return spark.read.parquet(path).filter(F.col("value") == F.lit(value)).select("key")
+
+
 def unique_violations(df: DataFrame, field: str) -> DataFrame:
     """(field's value, count) of values that more than one row holds."""
     return df.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count("*").alias("count")).filter("count > 1")
@@ -161,6 +199,3 @@ def ensure_id(df: DataFrame, key: str, field: str = "id") -> DataFrame:
     old = F.col(field).cast("string") if field in df.columns else F.lit(None).cast("string")
     return df.withColumn(field, F.coalesce(F.nullif(old, F.lit("")), F.col(key).cast("string")))
 
-
-def ordered_window(key: str, seq: str) -> Window:
-    return Window.partitionBy(key).orderBy(seq)

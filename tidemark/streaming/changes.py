@@ -5,10 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from tidemark.operators.query import grouped_ordinals
 
 
 def replay(log: DataFrame, key: str, delta: str) -> DataFrame:
@@ -51,15 +55,15 @@ class RetentionPolicy:
     batch: int | None = None
 
     def dropped(self, log: DataFrame, topic: str, time_ms: str, seq: str, now_ms: int) -> DataFrame:
-        newest = F.row_number().over(Window.partitionBy(topic).orderBy(F.desc(seq)))
         old = F.lit(False)
         if self.max_age_ms is not None:
             old = old | (F.col(time_ms) < now_ms - self.max_age_ms)
         if self.max_count is not None:
             old = old | (F.col("__new") > self.max_count)
-        gone = log.withColumn("__new", newest).filter(old & (F.col("__new") > self.min_keep)).drop("__new")
+        placed = grouped_ordinals(log, topic, [F.desc(seq)], "__new").withColumn("__new", F.col("__new") + 1)
+        gone = placed.filter(old & (F.col("__new") > self.min_keep)).drop("__new")
         if self.batch is not None:
-            gone = gone.withColumn("__n", F.row_number().over(Window.partitionBy(topic).orderBy(seq))).filter(F.col("__n") <= self.batch).drop("__n")
+            gone = grouped_ordinals(gone, topic, [F.col(seq)], "__n").filter(F.col("__n") < self.batch).drop("__n")
         return gone
 
     def apply(self, log: DataFrame, topic: str, time_ms: str, seq: str, now_ms: int) -> DataFrame:
@@ -83,11 +87,11 @@ def process(rows: DataFrame, outcome: Column, max_retries: int, use_dlq: bool =
 
 
 def processing_stats(rows: DataFrame, outcome: Column, max_retries: int, use_dlq: bool = True) -> DataFrame:
-    """(processed, retries, dlq_sent, dropped, success_rate); the rate of nothing is 1.0."""
+    """(processed, retries, dlq_sent, dropped, success_rate); a retry that is the last counts too; the rate of nothing is 1.0."""
     spent = (F.col("__o") == "retry") & (F.col("retries") + 1 >= max_retries)
     dead = (F.col("__o") == "dlq") | spent
     sums = rows.withColumn("__o", outcome).agg(
-        F.count_if(F.col("__o") == "ok").alias("processed"), F.count_if((F.col("__o") == "retry") & ~spent).alias("retries"),
+        F.count_if(F.col("__o") == "ok").alias("processed"), F.count_if(F.col("__o") == "retry").alias("retries"),
         F.count_if(dead & F.lit(use_dlq)).alias("dlq_sent"), F.count_if(dead & F.lit(not use_dlq)).alias("dropped"), F.count("*").alias("__n"),
     )
     return sums.withColumn("success_rate", F.when(F.col("__n") == 0, 1.0).otherwise(F.col("processed") / F.col("__n"))).drop("__n")
@@ -125,19 +129,56 @@ def run_pipeline(stream: DataFrame, sink: Callable[[DataFrame, int], None], chec
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def write_with_changes(table: str, changes: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes rows and their change rows, each under the batch's own folder, so that a repeat overwrites."""
+def change_rows(rows: DataFrame, pk: str, order: str, deleted: Column | None = None) -> DataFrame:
+    """(key, seq, op, value): an event per put row; rows that are ``deleted`` are tombstones without a value."""
+    gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
+    return rows.select(F.col(pk).cast("string").alias("key"), F.col(order).cast("long").alias("seq"), F.when(gone, "delete").otherwise("put").alias("op"), F.when(~gone, F.to_json(F.struct(*rows.columns))).alias("value"))
+
+
+def write_with_changes(table: str, changes: str, pk: str, order: str, deleted: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that writes the put rows and the change rows of all, each under the batch's own folder, so that a repeat overwrites."""
 
     def sink(rows: DataFrame, batch_id: int) -> None:
         rows.persist()
-        rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        value = F.to_json(F.struct(*rows.columns))
-        rows.select(F.lit("put").alias("op"), value.alias("value")).write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
+        put = rows.filter(~F.coalesce(deleted, F.lit(False))) if deleted is not None else rows
+        put.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        change_rows(rows, pk, order, deleted).write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
         rows.unpersist()
 
     return sink
 
 
+def event_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of a table's files as they come; ``files_per_batch`` limits the rate, and what comes meanwhile is one batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
+
+
+def handled(rows: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], op: str = "op") -> DataFrame:
+    """Rows of each kind of change through its handler (on_put, on_delete); kinds without one are left out."""
+    parts = [handler(rows.filter(F.col(op) == kind)) for kind, handler in handlers.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def save_state(state: DataFrame, upto: int, path: str) -> None:
+    """State of all events up to an offset, under that offset's folder."""
+    state.write.mode("overwrite").parquet(f"{path}/upto={upto}")
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(state, offset) of the latest saved state."""
+    saved = spark.read.parquet(path)
+    upto = saved.agg(F.max("upto")).first()[0]
+    return saved.filter(F.col("upto") == upto).drop("upto"), int(upto)
+
+
+def snapshot_job(log: DataFrame, path: str, upto: int, key: str, delta: str, seq: str = "seq") -> DataFrame:
+    """One run of a scheduled snapshot: saves the state up to an offset and gives the log that remains."""
+    state, rest = snapshot_and_compact(log, upto, key, delta, seq)
+    save_state(state, upto, path)
+    return rest
+
+
 def running_totals(stream: DataFrame, key: str, delta: str) -> DataFrame:
     """Keyed state as a streaming aggregation (update mode)."""
     return stream.groupBy(key).agg(F.sum(delta).alias("total"), F.count("*").alias("events"))

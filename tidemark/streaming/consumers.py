@@ -73,6 +73,11 @@ def reset_offsets(offsets: DataFrame, log: DataFrame, group: str, target: int |
     return offsets.join(ends, ["collection", "partition"], "left").withColumn("position", F.when(hit, new).otherwise(F.col("position"))).select(*offsets.columns)
 
 
+def close(offsets: DataFrame, group: str, positions: DataFrame) -> DataFrame:
+    """The offsets after a consumer's last commit; what it held is free from then on."""
+    return commit(offsets, group, positions)
+
+
 def groups(offsets: DataFrame) -> DataFrame:
     return offsets.select("group").distinct()
 
