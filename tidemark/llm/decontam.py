@@ -34,7 +34,8 @@ WALKS, SAMPLED = 4, 12
 HAMMING, WINDOWS = 0.27, 2
 #: (steps, places a hash samples, words from window to window) for long and for short items.
 LONG, SHORT = (64, SAMPLED, 3), (24, SAMPLED, 1)
-BITMAP = 22
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 20
 #: Starts within so many characters tell the same place.
 GRAIN = 16
 
@@ -172,10 +173,11 @@ class Index:
         self.item, begin = texts.text[own], texts.at[own]
         self.offset = begin - texts.at[texts.ptr[self.item]]
         self.sampler, self.tables = Sampler(steps, sampled, hashes, steps), {}
+        self.shift = U64(64 - max(10, math.ceil(math.log2(32 * max(1, len(own))))))  # 32 bits an entry in a bitmap
         for h, key in self.sampler.keys(texts.data, begin):
             order = np.argsort(key, kind="stable")
-            bits = np.zeros(1 << BITMAP, bool)
-            bits[(key >> U64(64 - BITMAP)).astype(np.int64)] = True
+            bits = np.zeros(1 << int(64 - self.shift), bool)
+            bits[(key >> self.shift).astype(np.int64)] = True
             self.tables[h] = key[order], order.astype(np.int32), np.packbits(bits)
 
     def candidates(self, texts: Texts) -> Iterator[np.ndarray]:
@@ -186,7 +188,7 @@ class Index:
         begin, text = texts.at[own], texts.text[own]
         for h, key in self.sampler.keys(texts.data, begin):
             known, order, bits = self.tables[h]
-            top = (key >> U64(64 - BITMAP)).astype(np.int64)
+            top = (key >> self.shift).astype(np.int64)
             maybe = np.flatnonzero((bits[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1)
             a, b = np.searchsorted(known, key[maybe], side="left"), np.searchsorted(known, key[maybe], side="right")
             n = b - a
@@ -328,7 +330,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, 1):
+                for part in slices(batch, 1, SLICE):
                     rows = scan(items.value, part.column(0).to_pylist(), *buffers(part.column(1)))
                     if rows:
                         c = list(zip(*rows, strict=True))
@@ -350,7 +352,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float =
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, at):
+                for part in slices(batch, at, SLICE):
                     clean = np.ones(part.num_rows, bool)
                     clean[[row[0] for row in scan(items.value, list(range(part.num_rows)), *buffers(part.column(at)))]] = False
                     yield part.filter(pa.array(clean))
