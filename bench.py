@@ -18,7 +18,7 @@ from tidemark.session import build_session  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = 3
+REPEATS = 5
 
 
 def lineitem(spark) -> Query:
