@@ -82,3 +82,14 @@ def test_query(spark, data):
 
 def test_one_id_with_two_vectors_has_the_least(spark):
     assert run(spark, [(1, [5.0]), (1, [2.0]), (2, [3.0])], [2]) == {2: [(1, 1, 1.0)]}
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    """Their digits doubled from round to round, up to a driver full of them."""
+    rng = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    points = A.points_of(A.usable(vectors), 11)
+    graph = A.neighbour_graph(points, k=8)
+    state = A.search(graph, points, points.filter("point % 100 = 0").select("point"), k=8, beam=32)
+    for frame in (graph, state):
+        assert frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.ordinals import numbered
-from tidemark.llm.store import cut, stored
+from tidemark.llm.store import cut, cut_round, stored
 
 K, BLOCK, ORDERS = 32, 256, 3
 #: The beam is so many times the binary logarithm of the points; a quarter of it is expanded a round.
@@ -168,10 +168,10 @@ def improve(near: DataFrame) -> DataFrame:
 
 def neighbour_graph(points: DataFrame, k: int = K, changed: float = CHANGED, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
     """(u, v, d, fresh): NN-descent; each round's graph is a checkpoint in the shared folder."""
-    graph = cut(lists(first_graph(points, k, orders, block).withColumn("fresh", F.lit(1)), k))
+    graph = cut_round(lists(first_graph(points, k, orders, block).withColumn("fresh", F.lit(1)), k))
     for _ in range(MOST_ROUNDS):
         found = improve(gathered(graph, points, k)).withColumn("fresh", F.lit(1))
-        graph = cut(lists(graph.withColumn("fresh", F.lit(0)).unionByName(found), k))
+        graph = cut_round(lists(graph.withColumn("fresh", F.lit(0)).unionByName(found), k))
         new, every = graph.agg(F.coalesce(F.sum("fresh"), F.lit(0)), F.count("*")).first()
         if new <= changed * every:
             break
@@ -200,7 +200,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = K,
                 yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[keep]), pa.array(part.column(1).to_numpy()[keep]), pa.array(d[keep]), pa.array(e[keep])], names=["q", "node", "d", "e"])
 
     while True:  # a point is expanded once for each query
-        todo = cut(first_of(state.filter("done = 0"), "q", ["d", "node"], expand).select("q", "node"))
+        todo = cut_round(first_of(state.filter("done = 0"), "q", ["d", "node"], expand).select("q", "node"))
         if todo.isEmpty():
             break
         reach = state.groupBy("q").agg(F.when(F.count("*") >= beam, F.max("d")).otherwise(float("inf")).alias("limit"))
@@ -208,7 +208,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = K,
         met = met.join(codes, "node").join(asked, "q").join(reach, "q").select("q", "node", "here", "there", "limit")
         met = met.mapInArrow(run, "q long, node long, d double, e double").withColumn("done", F.lit(0))
         marked = state.join(todo.withColumn("now", F.lit(1)), ["q", "node"], "left").select("q", "node", "d", "e", F.greatest("done", F.coalesce("now", F.lit(0))).alias("done"))
-        state = cut(first_of(marked.unionByName(met), "q", ["d", "node"], beam))
+        state = cut_round(first_of(marked.unionByName(met), "q", ["d", "node"], beam))
     return state.select("q", "node", "d", "e")
 
 

@@ -43,3 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for frames that come from their own last round.
+
+    A checkpointed frame keeps the size that was estimated for its plan, which for a join is the product of its sides: from
+    round to round the estimate's digits double, until they alone fill the driver. Here they are dropped with the plan.
+    """
+    held = cut(df)
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(held._jdf.queryExecution().toRdd(), held._jdf.schema(), False), session)
