@@ -140,3 +140,16 @@ def test_copies_without_an_article_keep_their_text(spark):
     assert found([page("t" * 90 + f"</p><p>{k}") for k in range(3)]) == ["0", "1", "2"]
     many = [page(f"own text {k}") for k in range(30)]
     assert found(many) == [f"own text {k}" for k in range(30)]
+
+
+def test_pages_with_an_article_are_differenced_too(spark):
+    page = lambda own: f"<article><p>{own}</p><p>Tell your friends</p></article>"
+    long = "all of the very same words " * 4
+    own = [f"own text of number {k}, which is longer" for k in range(5)]
+    rows = [(k, f"http://a.com/x/{k}", page(t)) for k, t in enumerate(own)]
+    rows += [(10 + k, f"http://b.com/{k}", f"<article><p>{long}</p><p>version {k}</p></article>") for k in range(5)]
+    rows += [(20 + k, f"http://c.com/{k}", page(own[k])) for k in range(3)]  # too few to tell
+    found = {r["page_id"]: r["text"] for r in H.extract_main_text(frame(spark, rows).repartition(3)).collect()}
+    assert [found[k] for k in range(5)] == own
+    assert [found[10 + k] for k in range(5)] == [f"{long.strip()}\nversion {k}" for k in range(5)]
+    assert [found[20 + k] for k in range(3)] == [f"{t}\nTell your friends" for t in own[:3]]

@@ -1,11 +1,12 @@
 """Main text of pages: nearest-URL page differencing over lines, together with what the markup itself says.
 
-One pass reads the markup: lines inside an article or main element are the text, and elements that are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts or comments by tag, role or class never count. Pages without an article
-or main element are differenced: distinct pages of a host are sorted by URL path, each is paired with the neighbour whose
-path shares the longest prefix among ``AROUND`` on each side, lines of the two are aligned by longest common subsequence
-and the shared ones are deleted. Neighbours are found by global ordinals, with the pages around a block copied to it, so
-the result does not depend on partitions. Only lines of pages without an article are shuffled.
+One pass reads the markup: elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments
+by tag, role or class never count, and lines inside an article or main element are told from others. Every page is then
+differenced: distinct pages of a host are sorted by URL path, each is paired with the neighbour whose path shares the
+longest prefix among ``AROUND`` on each side, lines of the two are aligned by longest common subsequence and the shared
+ones are deleted. A check follows for pages with an article: only its lines are text, and a deleted one comes back unless
+all unlike neighbours share it. Neighbours are found by global ordinals, with the pages around a block copied to it, so the
+result does not depend on partitions. Lines move as 64-bit hashes and lengths; texts stay where they were parsed.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ FENCE = {"article", "main", "body", "html", "table", "nav", "footer", "header",
 SPACE = re.compile(r"\s+")
 #: Different pages on each side of a page among which its mate is looked for; a page that shares more of the own characters is a near copy.
 AROUND, NEAR_COPY = 8, 0.9
+#: A page that shares more of an article's characters is a version of it; so many others have to share a line of an article that goes.
+VERSION, WITNESSES = 0.5, 3
 
 
 def _out_name(name: str) -> bool:
@@ -166,51 +169,67 @@ def common_prefix(a: str, b: str) -> int:
     return k
 
 
-def main_text(own: list[tuple[str, bool]], mates: Iterable[list[tuple[str, bool]]] | None) -> str:
-    """Lines of a page without those shared with its mate; with an article, its lines and no others.
+def deleted(lines: list, sizes: list[int], main: list[bool], mates: Iterable[list]) -> list[int]:
+    """Places of the lines of a page that go as its mates share them; of a page with an article, places of its lines only.
 
     ``mates`` come best first. The first that is no near copy of the page counts; of near copies alone, the one that
     shares least, as what all of a host's short pages share is no text. A page that holds all lines of this one is a copy.
+    Lines in an article are checked: a mate that shares more than ``VERSION`` of it is a version of it and does not count,
+    and the lines that the first other one shares go if all others around, and ``WITNESSES`` of them at least, share them.
     """
-    if any(m for _, m in own):
-        return "\n".join(t for t, m in own if m)
-    lines = [t for t, _ in own]
-    size = sum(map(len, lines))
+    at = [k for k, m in enumerate(main) if m]
+    if at:
+        own, size, seen, gone = [lines[k] for k in at], sum(sizes[k] for k in at), 0, set()
+        for mate in mates:
+            found = shared_lines(own, mate)
+            if sum(sizes[at[k]] for k in found) <= VERSION * size:
+                seen, gone = seen + 1, gone & found if seen else found
+                if not gone:
+                    break
+        return sorted(at[k] for k in gone) if seen >= WITNESSES else []
+    size = sum(sizes)
     least, shared = size, set()
-    for mate in mates or ():
-        found = shared_lines(lines, [t for t, _ in mate])
-        held = sum(len(lines[k]) for k in found)
+    for mate in mates:
+        found = shared_lines(lines, mate)
+        held = sum(sizes[k] for k in found)
         if len(found) < len(lines) and held < least:
             least, shared = held, found
             if held <= NEAR_COPY * size:
                 break
-    return "\n".join(t for k, t in enumerate(lines) if k not in shared)
+    return sorted(shared)
+
+
+def main_text(own: list[tuple[str, bool]], mates: Iterable[list[tuple[str, bool]]] | None) -> str:
+    """Lines of a page without those that go by its mates; with an article, its lines and no others."""
+    lines, main = [t for t, _ in own], [m for _, m in own]
+    gone = set(deleted(lines, [len(t) for t in lines], main, ([t for t, _ in mate] for mate in mates or ())))
+    whole = any(main)
+    return "\n".join(t for k, (t, m) in enumerate(own) if k not in gone and (m or not whole))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, text, lines): the text of pages with an article or main element, the lines of the others."""
+    """(page_id, url, host, path, lines, main): the lines of every page and whether an article or main element holds them; null without a line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
-                texts, lines = [], []
-                for page in part.column(4).to_pylist():
-                    own = blocks(page or "")
-                    whole = any(m for _, m in own) or not own
-                    texts.append(main_text(own, None) if whole else None)
-                    lines.append(None if whole else [t for t, _ in own])
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))], names=["page_id", "url", "host", "path", "text", "lines"])
+                own = [blocks(page or "") for page in part.column(4).to_pylist()]
+                lines, main = ([[x[i] for x in page] or None for page in own] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(lines, pa.list_(pa.string())), pa.array(main, pa.list_(pa.bool_()))], names=["page_id", "url", "host", "path", "lines", "main"])
 
     kind = dict(pages.dtypes)["page_id"]
     rows = split_urls(pages.select("page_id", "url", "html")).select("page_id", "url", "host", "path", "html")
-    return rows.mapInArrow(run, f"page_id {kind}, url string, host string, path string, text string, lines array<string>")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, host string, path string, lines array<string>, main array<boolean>")
 
 
 def differenced(pages: DataFrame, block: int = 512) -> DataFrame:
-    """(host, l1, l2, n, text) of the distinct (host, lines) of ``pages`` (page_id, host, path, lines, l1, l2); n counts their rows."""
-    distinct = pages.groupBy("host", "l1", "l2").agg(F.min(F.struct("path", "page_id")).alias("at"), F.count("*").alias("n"), F.first("lines").alias("lines"))
-    order, total = numbered(distinct.select("host", "at.path", "at.page_id", "l1", "l2", "n", "lines"), ["host", "path", "page_id", "l1", "l2"], "order")
+    """(host, l1, l2, n, gone) of the distinct (host, l1, l2) of ``pages`` (page_id, host, path, keys, sizes, main, l1, l2).
+
+    ``keys`` tell lines apart, ``gone`` has the places of those that go; n counts the rows.
+    """
+    distinct = pages.groupBy("host", "l1", "l2").agg(F.min(F.struct("path", "page_id")).alias("at"), F.count("*").alias("n"), F.first(F.struct("keys", "sizes", "main")).alias("own"))
+    order, total = numbered(distinct.select("host", "at.path", "at.page_id", "l1", "l2", "n", "own.*"), ["host", "path", "page_id", "l1", "l2"], "order")
     last = max(0, (total - 1) // block)
     own = F.floor(F.col("g") / block).cast("long")
     around = [F.greatest(F.floor((F.col("g") - AROUND) / block).cast("long"), F.lit(0).cast("long")), own, F.least(F.floor((F.col("g") + AROUND) / block).cast("long"), F.lit(last).cast("long"))]
@@ -218,17 +237,18 @@ def differenced(pages: DataFrame, block: int = 512) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("g")
-        hosts, paths, lines = rows["host"].tolist(), rows["path"].tolist(), [[(t, False) for t in x] for x in rows["lines"]]
+        hosts, paths, keys, sizes, main = (rows[c].tolist() for c in ("host", "path", "keys", "sizes", "main"))
+        keys = [k.tolist() for k in keys]
         out = []
         for k in np.flatnonzero((rows["own"] == rows["block"]).to_numpy()).tolist():
             mates = [j for j in range(max(0, k - AROUND), min(len(rows), k + AROUND + 1)) if hosts[j] == hosts[k] and j != k]
             mates.sort(key=lambda j: (-common_prefix(paths[j], paths[k]), abs(j - k), j))
-            out.append((k, main_text(lines[k], (lines[j] for j in mates))))
+            out.append((k, deleted(keys[k], sizes[k].tolist(), main[k].tolist(), (keys[j] for j in mates))))
         found = rows[["host", "l1", "l2", "n"]].iloc[[k for k, _ in out]].copy()
-        found["text"] = [t for _, t in out]
+        found["gone"] = [g for _, g in out]
         return found
 
-    return stored(copied.groupBy("block").applyInPandas(run, "host string, l1 long, l2 long, n long, text string"), "differenced")
+    return stored(copied.groupBy("block").applyInPandas(run, "host string, l1 long, l2 long, n long, gone array<int>"), "differenced")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -239,11 +259,16 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     that has only copies around it keeps all lines. Very long pages are read whole. Other columns are ignored; repeated
     rows come back as often.
     """
-    rows = stored(parsed(pages), "pages")
-    bare = rows.filter("lines is not null").withColumn("l1", F.xxhash64("lines")).withColumn("l2", F.xxhash64(F.lit(1), "lines"))
-    texts = differenced(bare.select("page_id", "host", "path", "lines", "l1", "l2"))
-    found = spread_join(bare.select("page_id", "url", "host", "l1", "l2"), texts, ["host", "l1", "l2"], ["page_id", "url"])
-    every = rows.filter("text is not null").select("page_id", "url", "text").unionByName(found.select("page_id", "url", "text"))
+    rows = stored(parsed(pages), "pages").withColumn("l1", F.xxhash64("lines", "main")).withColumn("l2", F.xxhash64(F.lit(1), "lines", "main"))
+    keys = F.transform("lines", lambda x: F.xxhash64(x))
+    slim = rows.filter("lines is not null").select("page_id", "host", "path", keys.alias("keys"), F.transform("lines", lambda x: F.char_length(x)).alias("sizes"), "main", "l1", "l2")
+    # Pages that keep all they have need no join: where few lose lines, these are broadcast and the texts stay in place.
+    losing = stored(differenced(slim).filter(F.size("gone") > 0), "losing")
+    found = spread_join(rows.filter("lines is not null"), losing, ["host", "l1", "l2"], ["page_id", "url"])
+    gone, whole = F.coalesce("gone", F.array().cast("array<int>")), F.exists("main", lambda m: m)
+    counted = F.filter(F.arrays_zip("lines", "main", F.sequence(F.lit(0), F.size("lines") - 1).alias("k")), lambda x: (x["main"] | ~whole) & ~F.array_contains(gone, x["k"]))
+    text = F.array_join(F.transform(counted, lambda x: x["lines"]), "\n")
+    every = found.select("page_id", "url", text.alias("text")).unionByName(rows.filter("lines is null").select("page_id", "url", F.lit("").alias("text")))
     return every.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
