@@ -126,3 +126,11 @@ def test_query(spark, data):
         host, path = plain(rows[r["page_id"]])
         rule, verdict = by_list(host, path)
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] == (verdict or ("block" if r["mined"] else "allow"))
+
+
+def test_one_row_of_many_frequent_tokens_costs_no_rule(spark):
+    names = [f"p:w{k}" for k in range(22)]
+    rows = [([n], True) for n in names for _ in range(25)] + [(names, True)] + [([f"p:z{k % 7}"], False) for k in range(1200)]
+    rules = U.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.002, 1.5)
+    assert sorted(need for need, _, _ in rules) == sorted((n,) for n in names)
+    assert {round(s * len(rows)) for _, _, s in rules} == {26}

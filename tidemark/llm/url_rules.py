@@ -70,12 +70,13 @@ def least_share(share: float, n: float, z: float) -> float:
     return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def mine(labelled: DataFrame, min_support: float, min_lift: float, min_count: int = 20, z: float = 3.0, most_items: int = 20) -> list[tuple[tuple[str, ...], float, float]]:
+def mine(labelled: DataFrame, min_support: float, min_lift: float, min_count: int = 20, z: float = 3.0) -> list[tuple[tuple[str, ...], float, float]]:
     """Rules (tokens, confidence, support) for the label bad from (tokens, bad) rows; all labelled rows and all their frequent tokens count.
 
     A rule's confidence is at least ``min_lift`` times the share of bad rows and its lower bound (``z``) above that share;
-    it needs ``min_count`` rows. FP-growth enumerates the sets of a row's frequent items, so the least support doubles
-    while any row holds more than ``most_items`` of them. No labelled row, or none that is bad, gives no rule.
+    it and the label need ``min_support`` of the rows and ``min_count`` rows together. Rows of any number of frequent items
+    are mined at this support. An item with fewer bad rows is in no rule, and one that all rows hold makes none surer; both
+    stay out. FP-growth's work grows with the number of frequent sets. No labelled row, or none that is bad, gives no rule.
     """
     labelled = stored(labelled.withColumn("id", F.monotonically_increasing_id()), "labelled")
     total, bad = labelled.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
@@ -84,20 +85,17 @@ def mine(labelled: DataFrame, min_support: float, min_lift: float, min_count: in
     base = bad / total
     each = labelled.select("id", "bad", F.explode(F.array_distinct("tokens")).alias("token"))
     rows = lambda k: F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)"))
-    alike = each.groupBy("token").agg(F.count("*").alias("n"), rows(0).alias("a"), rows(1).alias("b"))
-    least = max(min_support * total, min_count)
-    items = stored(alike.filter(F.col("n") >= least).groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("tokens")), "items")
-    held = stored(each.join(items.select(F.col("item").alias("token"), "n"), "token"), "held")
-    while (held.filter(F.col("n") >= least).groupBy("id").count().agg(F.max("count")).first()[0] or 0) > most_items:
-        least *= 2
+    alike = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("hit"), rows(0).alias("a"), rows(1).alias("b"))
+    least = math.ceil(max(min_support * total, min_count) - 1e-9)
     if least > total or min_lift * base > 1:
         return []
-    baskets = held.filter(F.col("n") >= least).groupBy("id", "bad").agg(F.collect_list("token").alias("own"))
+    items = stored(alike.filter((F.col("hit") >= least) & (F.col("n") < total)).groupBy("n", "hit", "a", "b").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("tokens")), "items")
+    baskets = each.join(items.select(F.col("item").alias("token")), "token").groupBy("id", "bad").agg(F.collect_list("token").alias("own"))
     # Rows without a frequent token still count in supports.
     empty = F.array().cast("array<string>")
     whole = labelled.select("id", "bad").join(baskets.select("id", "own"), "id", "left")
     sets = whole.select(F.concat(F.coalesce("own", empty), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(empty)).alias("items"))
-    frequent = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_lift * base).fit(sets)
+    frequent = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min_lift * base).fit(sets)
     rules = frequent.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select("antecedent", "confidence", "support")
     surer = [(tuple(sorted(r[0])), r[1], r[2]) for r in rules.toLocalIterator() if least_share(r[1], r[2] * total / r[1], z) > base]
     confidence: dict[tuple[str, ...], float] = {}
@@ -112,8 +110,7 @@ def mine(labelled: DataFrame, min_support: float, min_lift: float, min_count: in
 def matched(rows: DataFrame, rules: list[tuple[tuple[str, ...], float, float]]) -> DataFrame:
     """``rows`` (with tokens) and ``mined``: the tokens of the surest rule that it matches, joined by blanks; else null.
 
-    The index from token to rule is bounded by the mining: every rule has the minimum support among transactions of a
-    bounded number of items.
+    The index from token to rule holds what the mining found; every rule has the minimum support.
     """
     index: dict[str, list[int]] = defaultdict(list)
     for k, (need, _, _) in enumerate(rules):
