@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.jaccard import slices
+from tidemark.llm.memory import lean
 from tidemark.llm.textops import U64, blanks, buffers, mix, word_hashes, words
 
 MAX_EDITS, RECALL = 0.2, 0.99
@@ -336,7 +337,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
                         c = list(zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([pa.array(c[0], part.schema.field(0).type), pa.array(c[1]), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.float64())], names=["doc_id", "item_id", "start_word", "edits", "similarity"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.select("doc_id", "text").mapInArrow(lean(run), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -357,7 +358,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float =
                     clean[[row[0] for row in scan(items.value, list(range(part.num_rows)), *buffers(part.column(at)))]] = False
                     yield part.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out
 
 

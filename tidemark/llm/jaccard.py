@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import connected_components
+from tidemark.llm.memory import lean
 from tidemark.llm.store import stored
 from tidemark.llm.textops import U64, buffers, mix, sequence_ids, shingles, word_hashes, words
 
@@ -88,7 +89,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f1), pa.array(f2), pa.array(np.diff(ptr)), lists], names=["doc_id", "f1", "f2", "n_words", "buckets"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f1 long, f2 long, n_words long, buckets array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, f1 long, f2 long, n_words long, buckets array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int, keep: list[str]) -> DataFrame:
@@ -104,7 +105,7 @@ def shingle_sets(docs: DataFrame, n: int, keep: list[str]) -> DataFrame:
 
     part_at = len(keep)
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", grams binary")
+    return docs.select(*keep, "text").mapInArrow(lean(run), ", ".join(f"{c} {kinds[c]}" for c in keep) + ", grams binary")
 
 
 def linked(sets: list[np.ndarray], similarity: float, cells: int = 8 << 20) -> np.ndarray:
@@ -173,7 +174,7 @@ def verify(sets: DataFrame, similarity: float) -> DataFrame:
         if len(rows) > 1 and (out := tile(rows)) is not None:
             yield out
 
-    return sets.mapInArrow(run, "rep long, links long, least long")
+    return sets.mapInArrow(lean(run), "rep long, links long, least long")
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, chunk_texts: int = 1000, chunk_grams: int = 1_000_000) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from tidemark.llm.memory import lean
 from tidemark.llm.store import stored
 from tidemark.llm.textops import LOWER, buffers
 
@@ -137,7 +138,7 @@ def train(docs: DataFrame, per_lang: int = 600, sample_rows: int = 12_000, bits:
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0).cast(pa.string()), "lang": part.column(2), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     sample, most = _sample(known, per_lang, sample_rows)
-    rows = sample.select("doc_id", "text", "lang").mapInArrow(run, "doc_id string, lang string, x binary")
+    rows = sample.select("doc_id", "text", "lang").mapInArrow(lean(run), "doc_id string, lang string, x binary")
     rows = rows.limit(max(1, most)).collect()  # the limit holds if one row repeats without end
     if not rows:
         return None
@@ -178,7 +179,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", unsur
                 extra = [pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(lead < unsure)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tidemark.llm.memory import lean
 from tidemark.llm.store import stored
 from tidemark.llm.textops import U64, mix
 
@@ -148,7 +149,7 @@ def _counts(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Re
 
 def line_counts(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """(h1, h2, n): the number of document rows that hold each line key."""
-    part = docs.select(text_col).mapInArrow(lambda it: _counts(it, min_chars), "h1 long, h2 long, n long")
+    part = docs.select(text_col).mapInArrow(lean(lambda it: _counts(it, min_chars)), "h1 long, h2 long, n long")
     return part.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
@@ -220,7 +221,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
                 columns[at] = pa.array([r[0] for r in rows], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(probe, schema)
+    return docs.mapInArrow(lean(probe), schema)
 
 
 def _by_shards(docs: DataFrame, index: DataFrame, shards: int, text_col: str, min_docs: int, min_chars: int, schema: StructType) -> DataFrame:
@@ -240,7 +241,7 @@ def _by_shards(docs: DataFrame, index: DataFrame, shards: int, text_col: str, mi
 
     own = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     keyed = docs.withColumn("__c1", F.xxhash64(*own)).withColumn("__c2", F.xxhash64(F.lit(1), *own))
-    lines = stored(keyed.select("__c1", "__c2", text_col).mapInArrow(emit, "c1 long, c2 long, shard long, h1 long, h2 long"), "probes")
+    lines = stored(keyed.select("__c1", "__c2", text_col).mapInArrow(lean(emit), "c1 long, c2 long, shard long, h1 long, h2 long"), "probes")
     # A line that many texts share puts their probes into one shard: each shard gets as many salts as its probes need.
     salts = lines.groupBy("shard").agg(F.ceil(F.count("*") / 500_000).cast("long").alias("salts"))  # a row per shard
     lines = lines.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.col("c1"), F.col("salts"))).drop("salts")
@@ -271,7 +272,7 @@ def _by_shards(docs: DataFrame, index: DataFrame, shards: int, text_col: str, mi
                 columns[at] = pa.array([r[0] for r in rows], pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(lean(apply), schema)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.memory import lean
 from tidemark.llm.store import stored
 from tidemark.llm.textops import word_hashes
 
@@ -179,7 +180,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(columns, types, strict=True))[: 5 + with_ids]], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _best_pattern(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -330,7 +331,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
     ranked = dealt.withColumn("__own", F.row_number().over(own) - 1).join(before, ["length", "__b"])
     ranked = ranked.withColumn("__r", F.col("__before") + F.col("__own"))
     # The plan grows with capacity and groups, not with the corpus; looked up in an array per length, so no row is multiplied.
-    rows = spark.createDataFrame(plan, "length long, r0 long, r1 long, bin0 long, place long")
+    # As an Arrow table it needs no Python workers on the executors, which would wait there beside those of the texts.
+    columns = np.array(plan, np.int64).reshape(-1, 5).T
+    rows = spark.createDataFrame(pa.table(list(columns), names=["length", "r0", "r1", "bin0", "place"]))
     segments = F.broadcast(rows.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("r0", "bin0", "place"))).alias("__seg")))
     found = ranked.join(segments, "length").withColumn("__s", F.expr("element_at(filter(__seg, s -> s.r0 <= __r), -1)"))
     return found.select(*[c for c in pieces.columns if c != "__salt"], (F.col("__s.bin0") + F.col("__r") - F.col("__s.r0")).alias("sequence_id"), F.col("__s.place").alias("offset"))
