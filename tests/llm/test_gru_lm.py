@@ -177,3 +177,42 @@ def test_a_round_averages_tasks_by_words(spark):
     assert seen == (16, 5)
     for k in both:
         assert np.allclose(both[k], (4 * one[k] + 12 * two[k]) / 16, atol=1e-6)
+
+
+def test_a_step_runs_on_whole_runs_of_memory():
+    """CPU budget: gates that lie apart in memory (rows of lanes) took about 40 % more time for a step."""
+    m, trace = net(30, 6), []
+    rng = np.random.default_rng(9)
+    x, keep = rng.integers(0, 30, (5, 8)), (rng.random((5, 8)) > 0.3).astype(np.float32)
+    h = rng.normal(0, 0.3, (8, 6)).astype(np.float32)
+    found = m.states(x, keep, h, trace)
+    assert len(trace) == 5 and all(a.flags.c_contiguous and a.shape == (6, 8) for step in trace for a in step)
+    plain = lambda v: 1 / (1 + np.exp(-v))
+    for t in range(5):
+        h = h * keep[t][:, None]
+        gx, gh = m.p["wx"][x[t]] + m.p["b"], h @ m.p["u"]
+        z, r = plain(gx[:, :6] + gh[:, :6]), plain(gx[:, 6:12] + gh[:, 6:12])
+        c = np.tanh(gx[:, 12:] + r * gh[:, 12:])
+        h = c + z * (h - c)
+        assert np.allclose(found[t], h, atol=1e-6)
+
+
+def test_large_logits():
+    m = net()
+    h = np.random.default_rng(3).normal(size=(4, 5)).astype(np.float32)
+    m.p["bo"][::2] = 300
+    m.p["wc"][0] = 300
+    with np.errstate(over="raise", invalid="raise"):
+        lp = np.array([m.log_probs(h, np.full(4, w))[0] for w in range(11)])
+    assert np.isfinite(lp).all() and np.allclose(np.exp(lp).sum(0), 1, atol=1e-5)
+
+
+def test_gradient_of_words_that_come_often():
+    """The sums of the rare entry, of one other word and of words that do not come, against one window each."""
+    m = net(30, 6)
+    x, y = np.full((40, 3), M.RARE), np.full((40, 3), 4)
+    x[::4] = 7
+    keep, h = np.zeros((40, 3), np.float32), np.zeros((3, 6), np.float32)  # each word stands alone
+    whole = m.parts(m.gradient(x, y, keep, np.ones((40, 3), bool), h)[1])["wx"]
+    alone = {w: m.parts(m.gradient(np.array([[w]]), np.array([[4]]), keep[:1, :1], np.ones((1, 1), bool), h[:1])[1])["wx"] for w in (M.RARE, 7)}
+    assert np.allclose(whole, 0.75 * alone[M.RARE] + 0.25 * alone[7], atol=1e-6) and not whole[2:7].any()

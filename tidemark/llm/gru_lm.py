@@ -39,12 +39,20 @@ HIDDEN, WINDOW, LANES, CLASSES = 24, 32, 256, 32
 #: Lanes and the longest run of words in learning; a step sees LEARN_LANES * WINDOW words.
 LEARN_LANES, SEGMENT = 256, 1024
 LEADING = 18
+SPREAD = 16
+#: Logits of less have exponentials, and sums of them, within single precision.
+SMALL = 60.0
 #: Rounds of averaging in a single pass over the documents; about so many words of a pass and bytes of text a task learns from.
 ROUNDS, TASK_WORDS, LEARN_BYTES = 4, 1 << 21, 4 << 20
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In the place of ``x``; tanh takes less time than exp and a division, and does not overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def class_edges(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -96,55 +104,67 @@ class GRU:
         self.p = self.parts(self.flat)
 
     def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States after each of the (time, lane) words; keep is 0 where a lane's document begins. ``trace`` takes what the gradient needs."""
+        """States after each of the (time, lane) words; keep is 0 where a lane's document begins. ``trace`` takes what the gradient needs.
+
+        Within, arrays are (unit, lane): each gate is one run of memory.
+        """
         p, k = self.p, self.hidden
-        gx = p["wx"][x]
-        gx += p["b"]
-        out = np.empty((*x.shape, k), gx.dtype)
+        up, b, h = np.ascontiguousarray(p["u"].T), p["b"][:, None], h.T
+        out, gx = np.empty((*x.shape, k), up.dtype), np.empty((3 * k, x.shape[1]), up.dtype)
         for t in range(len(x)):
-            h = h * keep[t][:, None]
-            gh = h @ p["u"]
-            zr = sigmoid(gx[t, :, : 2 * k] + gh[:, : 2 * k])
-            z, r, inner = zr[:, :k], zr[:, k:], gh[:, 2 * k :]
-            c = np.tanh(gx[t, :, 2 * k :] + r * inner)
+            h = np.multiply(h, keep[t], order="C")
+            gx[:] = p["wx"].take(x[t], 0).T
+            gx += b
+            gh = up @ h
+            zr = sigmoid(gx[: 2 * k] + gh[: 2 * k])
+            z, r, inner = zr[:k], zr[k:], gh[2 * k :]
+            c = r * inner
+            c += gx[2 * k :]
+            np.tanh(c, out=c)
             if trace is not None:
                 trace.append((h, z, r, c, inner))
-            h = c + z * (h - c)
-            out[t] = h
+            h = h - c
+            h *= z
+            h += c
+            out[t] = h.T
         return out
 
     def log_probs(self, states: np.ndarray, y: np.ndarray, grad: dict | None = None, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of the probability of each next word; with ``grad`` (zeros) also the gradient of the states (of -weight * sum)."""
-        p, weight = self.p, weight if grad is not None else 0
+        p, k, weight = self.p, self.hidden, weight if grad is not None else 0
         kind = self.kind[y]
         order = np.argsort(kind, kind="stable")
-        kind, place, s = kind[order], (y - self.edges[kind])[order], np.ascontiguousarray(states[order].T)
+        kind, place = kind[order], (y - self.edges[kind])[order]
+        s = np.ones((len(y), k + 1), states.dtype)  # the last column takes the biases
+        s[:, :k] = states.take(order, 0)
+        wc, wo = np.vstack([p["wc"], p["bc"]]).T, np.column_stack([p["wo"], p["bo"]])
+        most = max((np.abs(w) @ np.ones(k + 1, w.dtype)).max() for w in (wc, wo))
+        small = bool(most * max(s.max(), -s.min()) < SMALL) if len(y) else True
         bounds = np.searchsorted(kind, np.arange(self.classes + 1))
-        lp, share = self._chosen(p["wc"].T @ s + p["bc"][:, None], kind, weight)
+        lp, share = self._chosen(wc @ s.T, kind, weight, small)
         if grad is not None:
-            np.matmul(s, share.T, out=grad["wc"])
-            share.sum(1, out=grad["bc"])
-            d = p["wc"] @ share
+            g = (share @ s).T
+            grad["wc"][:], grad["bc"][:] = g[:k], g[k]
+            d = share.T @ p["wc"].T
         for c, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             if a == b:
                 continue
             own = slice(int(self.edges[c]), int(self.edges[c + 1]))
-            more, share = self._chosen(p["wo"][own] @ s[:, a:b] + p["bo"][own][:, None], place[a:b], weight)
+            more, share = self._chosen(wo[own] @ s[a:b].T, place[a:b], weight, small)
             lp[a:b] += more
             if grad is not None:
-                grad["wo"][own], grad["bo"][own] = share @ s[:, a:b].T, share.sum(1)
-                d[:, a:b] += p["wo"][own].T @ share
-        out, back = np.empty_like(lp), None
-        out[order] = lp
-        if grad is not None:
-            back = np.empty_like(states)
-            back[order] = d.T
-        return out, back
+                g = share @ s[a:b]
+                grad["wo"][own], grad["bo"][own] = g[:, :k], g[:, k]
+                d[a:b] += share.T @ p["wo"][own]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return lp.take(back), d.take(back, 0) if grad is not None else None
 
     @staticmethod
-    def _chosen(x: np.ndarray, which: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
-        """Log of the softmax of each column at ``which``; with a weight also the gradient of -weight * its sum. ``x`` is used up."""
-        x -= x.max(0)
+    def _chosen(x: np.ndarray, which: np.ndarray, weight: float, small: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log of the softmax of each column at ``which``; with a weight also the gradient of -weight * its sum. ``x`` is used up; ``small``: its exponential is in range."""
+        if not small:
+            x -= x.max(0)
         column = np.arange(x.shape[1])
         chosen = x[which, column]
         share = np.exp(x, out=x)
@@ -160,40 +180,42 @@ class GRU:
         grad = self.parts(flat)
         states = self.states(x, keep, h, trace)
         own = valid.ravel()
-        lp, ds = self.log_probs(states.reshape(-1, k)[own], y.ravel()[own], grad, 1.0 / max(1, own.sum()))
-        d = np.zeros((own.size, k), states.dtype)
-        d[own] = ds
+        at = np.flatnonzero(own)
+        lp, d = self.log_probs(states.reshape(-1, k).take(at, 0), y.ravel().take(at), grad, 1.0 / max(1, len(at)))
+        if len(at) < own.size:
+            d, ds = np.zeros((own.size, k), states.dtype), d
+            d[at] = ds
         d = d.reshape(*x.shape, k)
-        gh, dc = np.empty((*x.shape, 3 * k), states.dtype), d
-        back, up = np.zeros_like(d[0]), np.ascontiguousarray(p["u"].T)
-        for t in reversed(range(len(x))):  # on slices that stay in the cache
+        gx, gh = np.empty((3 * k, *x.shape), states.dtype), np.empty((3 * k, x.shape[1]), states.dtype)
+        back, gu = np.zeros((k, x.shape[1]), states.dtype), np.zeros((3 * k, k), states.dtype)
+        for t in reversed(range(len(x))):  # on arrays that stay in the cache, (unit, lane) like those of the trace
             before, z, r, c, inner = trace[t]
-            g = d[t] + back
+            g = np.add(back, d[t].T, order="C")
             back = g * z
             g -= back
             to = before - c
             to *= back
-            np.multiply(to, 1 - z, out=gh[t, :, :k])
+            np.multiply(to, 1 - z, out=gh[:k])
             c *= c
             c *= g
             g -= c
-            dc[t] = g  # in the place of d[t]
-            g *= r
-            gh[t, :, 2 * k :] = g
-            g *= inner
-            np.multiply(g, 1 - r, out=gh[t, :, k : 2 * k])
-            back += gh[t] @ up
-            back *= keep[t][:, None]
-        before = np.concatenate([h[None], states[:-1]])
-        before *= keep[:, :, None]
-        flat_gh = gh.reshape(-1, 3 * k)
-        np.matmul(before.reshape(-1, k).T, flat_gh, out=grad["u"])
-        gh[:, :, 2 * k :] = dc
-        flat_gh.sum(0, out=grad["b"])
-        word = x.ravel().astype(np.int16 if len(self.kind) < 1 << 15 else np.int32)  # short numbers are sorted by radix
-        order = np.argsort(word, kind="stable")
-        first = np.flatnonzero(np.diff(word[order], prepend=-1))
-        grad["wx"][word[order[first]]] = np.add.reduceat(flat_gh[order], first)
+            np.multiply(g, r, out=gh[2 * k :])
+            np.multiply(gh[2 * k :], inner, out=gh[k : 2 * k])
+            gh[k : 2 * k] *= 1 - r
+            back += p["u"] @ gh
+            back *= keep[t]
+            gu += gh @ before.T
+            gx[: 2 * k, t], gx[2 * k :, t] = gh[: 2 * k], g
+        grad["u"][:] = gu.T
+        gx, word, n = gx.reshape(3 * k, -1), x.ravel().astype(np.intp), len(self.kind)
+        rare = np.flatnonzero(word == RARE)
+        word[rare] = n + rare % SPREAD  # sums of a word that comes often wait for each other
+        sums = np.empty((3 * k, n + SPREAD), states.dtype)
+        for total, each in zip(sums, gx, strict=True):
+            total[:] = np.bincount(word, each, n + SPREAD)
+        sums[:, RARE] = sums[:, n:].sum(1)
+        grad["wx"][:] = sums[:, :n].T
+        gx.sum(1, out=grad["b"])
         return float(-lp.sum() / max(1, own.sum())), flat, states[-1]
 
 
@@ -232,7 +254,7 @@ class Lanes:
             t = np.arange(a, min(a + length, int(self.size[0])))[:, None]
             valid = t < self.size[:n]
             at = np.where(valid, self.base[:n] + t, self.base[:n])
-            yield self.x[at], self.y[at], (~self.first[at]).astype(np.float32), self.doc[at], valid
+            yield self.x.take(at), self.y.take(at), (~self.first.take(at)).astype(np.float32), self.doc.take(at), valid
 
 
 def words_before(ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
@@ -256,19 +278,17 @@ class Adam:
 
     def update(self, model: GRU, g: np.ndarray, rate: float) -> None:
         self.step += 1
-        g *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9)))
+        g *= np.float32(0.1 * min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9)))
         self.m *= np.float32(0.9)
-        np.multiply(g, np.float32(0.1), out=self.work)
-        self.m += self.work
+        self.m += g
+        g *= g  # a hundredth of the gradient's square
         self.v *= np.float32(0.99)
-        np.multiply(g, g, out=self.work)
-        self.work *= np.float32(0.01)
-        self.v += self.work
+        self.v += g
         np.sqrt(self.v, out=self.work)
-        self.work *= np.float32(1 / np.sqrt(1 - 0.99**self.step))
-        self.work += np.float32(1e-6)
+        grown = np.sqrt(1 - 0.99**self.step)
+        self.work += np.float32(1e-6 * grown)
         np.divide(self.m, self.work, out=self.work)
-        self.work *= np.float32(rate / (1 - 0.9**self.step))
+        self.work *= np.float32(rate * grown / (1 - 0.9**self.step))
         model.flat -= self.work
 
 
@@ -353,7 +373,7 @@ def score(model: GRU, ids: np.ndarray, ptr: np.ndarray, lanes: int = LANES, wind
     held, size = [], 0
 
     def settle() -> None:
-        states, y, doc = (np.concatenate(a) for a in zip(*held, strict=True))
+        states, y, doc = (np.concatenate(a) if len(a) > 1 else a[0] for a in zip(*held, strict=True))
         out[:] += np.bincount(doc, model.log_probs(states, y)[0], len(out))
         held.clear()
 
@@ -361,7 +381,8 @@ def score(model: GRU, ids: np.ndarray, ptr: np.ndarray, lanes: int = LANES, wind
         n = x.shape[1]
         states = model.states(x, keep, np.zeros((n, model.hidden), np.float32) if h is None else h[:n])
         h = states[-1]
-        held.append((states[valid], y[valid], doc[valid]))
+        at = np.flatnonzero(valid)
+        held.append((states.reshape(-1, model.hidden).take(at, 0), y.take(at), doc.take(at)))
         size += len(held[-1][1])
         if size >= 8192:  # where few lanes are left, windows are gathered
             settle()
